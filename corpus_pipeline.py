@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, jaccard
+from lodestone.llm import common, decontaminate, jaccard
 
 
 def _jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,12 @@ def _jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return common.semi(kept, twice, "left_anti").unionByName(again)
 
 
-STAGES = [("near_duplicates", _jaccard)]
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a run of 13 words of a benchmark passage (or all of a shorter one)."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=13)
+
+
+STAGES = [("near_duplicates", _jaccard), ("decontamination", _decontaminate)]
 
 #: No stage but the last can be expressed in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
