@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, decontaminate, jaccard
+from lodestone.llm import common, decontaminate, jaccard, mixing, sharding
 
 
 def _jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,17 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_words=13)
 
 
-STAGES = [("near_duplicates", _jaccard), ("decontamination", _decontaminate)]
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for; no source loses words, so none is dropped."""
+    return mixing.mixed(docs, temperature=0.7)
+
+
+def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the column `shard`: 16 shards of even size that keep linked documents together."""
+    return sharding.sharded(docs, shards=16, rounds=5, slack=0.02)
+
+
+STAGES = [("near_duplicates", _jaccard), ("decontamination", _decontaminate), ("mixing", _mix), ("sharding", _shard)]
 
 #: No stage but the last can be expressed in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None

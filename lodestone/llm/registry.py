@@ -6,23 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, jaccard
+from lodestone.llm import decontaminate, jaccard, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), temperature=0.7).select("doc_id", "source", "mix_words", "mix_rate", "mix_copies")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=3, t=0.6)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignment(table(spark, sf_dir, "documents"), shards=16, rounds=5, slack=0.02)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_words=13)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_jaccard_join, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_mixing, op5_jaccard_join, op7_sharding, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
