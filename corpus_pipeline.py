@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, decontaminate, jaccard, mixing, sharding
+from lodestone.llm import common, decontaminate, jaccard, mixing, rules, sharding
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule learned from the table labels rejects."""
+    return rules.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs, shards=16, rounds=5, slack=0.02)
 
 
-STAGES = [("near_duplicates", _jaccard), ("decontamination", _decontaminate), ("mixing", _mix), ("sharding", _shard)]
+STAGES = [("quality_rules", _quality), ("near_duplicates", _jaccard), ("decontamination", _decontaminate), ("mixing", _mix), ("sharding", _shard)]
 
 #: No stage but the last can be expressed in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
