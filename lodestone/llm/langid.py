@@ -5,8 +5,8 @@ A text is lower-cased, everything but letters becomes one space, and its byte
 log(1 + n), weighed by inverse document frequency over all documents, and
 scaled to length 1.  Each language has several centroids, found by spherical
 k-means among its labelled documents.  A text gets the language of the centroid
-of greatest cosine, or none (`und`) if its distance is beyond what that
-centroid's own documents show.
+of greatest cosine, or none (`und`) if its distance is beyond what labelled
+documents of about its length show.
 
 Document frequencies are taken over all documents.  Only the clustering is
 bounded: it sees at most `per_language` labelled rows a language (a parameter).
@@ -28,6 +28,8 @@ DIMS = 1 << 12
 GRAMS = (1, 2, 3, 4)
 #: Rows that are counted at once.
 ROWS = 512
+#: Bands of length; one with fewer labelled rows than ENOUGH has the limit of the lowest row in it and its neighbours.
+BANDS, ENOUGH = 16, 12
 UNKNOWN = "und"
 
 _rng = np.random.default_rng(7)
@@ -71,9 +73,14 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
 
+def band(count: np.ndarray) -> np.ndarray:
+    """Length of texts, from their n-gram counts, to powers of four."""
+    return np.minimum(np.log2(np.maximum(count.sum(axis=1), 1)) // 2, BANDS - 1).astype(int)
+
+
 @dataclass
 class Model:
-    """idf per feature; per centroid its direction, its language and the least cosine that it accepts."""
+    """idf per feature; each centroid's direction and language; the least cosine accepted for each `band` of length."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -84,10 +91,11 @@ class Model:
         """Language and greatest cosine of each text; the first of equal centroids counts."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        sim = vectors(counts(texts), self.idf) @ self.centroids.T
+        count = counts(texts)
+        sim = vectors(count, self.idf) @ self.centroids.T
         best = sim.argmax(axis=1)
         cos = sim[np.arange(len(best)), best].astype(float)
-        ok = (cos >= self.least[best]) & ~blank
+        ok = (cos >= self.least[band(count)]) & ~blank
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok.tolist())], np.where(blank, 0.0, cos)
 
 
@@ -133,9 +141,9 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, spread: float = 6.0) -> Model:
     """Trains on rows whose column `lang` isn't null.
 
-    A centroid accepts cosines down to `spread` times its documents' usual
-    deviation (median absolute) below their median.  A language whose name is
-    empty, or all of whose rows are without letters, isn't learned.
+    `spread` sets the distance at which texts are rejected (see `limits`).  A
+    language whose name is empty, or all of whose rows are without letters,
+    isn't learned.
     """
     df, n = document_frequency(docs)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
@@ -156,25 +164,32 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, spread: fl
     got = picked.select("lang", "h", letters(F.col("text")).alias("norm")).where("norm rlike '\\\\S'").mapInArrow(vector, "lang string, h long, counts binary")
     for r in got.collect():
         count[r["lang"]].append((r["h"], bytes(r["counts"])))
-    found, names, least = [], [], []
+    found, names, near, bands = [], [], [], []
     for lang, own in count.items():
         own = sorted(own)[:per_language]
         if not own:
             continue
-        v = vectors(np.frombuffer(b"".join(c for _, c in own), np.float32).reshape(len(own), DIMS), idf)
+        raw = np.frombuffer(b"".join(c for _, c in own), np.float32).reshape(len(own), DIMS)
+        v = vectors(raw, idf)
         c = cluster(v, centroids)
-        sim = v @ c.T
-        mine = sim.argmax(axis=1)
-        usual = np.median(sim.max(axis=1))
-        scatter = np.median(np.abs(sim.max(axis=1) - usual))
-        for j in range(len(c)):
-            s = sim[mine == j, j]
-            mid = np.median(s) if len(s) else usual
-            dev = max(np.median(np.abs(s - mid)), scatter) if len(s) else scatter
-            found.append(c[j]), names.append(lang), least.append(mid - spread * dev)
+        found.append(c), names.extend([lang] * len(c)), near.append((v @ c.T).max(axis=1)), bands.append(band(raw))
     if not found:
         return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    return Model(idf, np.array(found, np.float32), names, np.array(least))
+    return Model(idf, np.concatenate(found).astype(np.float32), names, limits(np.concatenate(near), np.concatenate(bands), spread))
+
+
+def limits(near: np.ndarray, bands: np.ndarray, spread: float) -> np.ndarray:
+    """The least cosine accepted in each band: `spread` times the median absolute deviation below the median, and never above what all but the lowest hundredth reach."""
+    out = np.zeros(BANDS)
+    for b in range(BANDS):
+        own = near[bands == b]
+        if len(own) >= ENOUGH:
+            mid = np.median(own)
+            out[b] = min(mid - spread * np.median(np.abs(own - mid)), np.quantile(own, 0.01))
+        else:
+            around = near[np.abs(bands - b) <= 1]
+            out[b] = 0.8 * around.min() if len(around) else 0.0
+    return out
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
