@@ -69,4 +69,4 @@ def blended(features_: DataFrame, weights: dict[str, float] | None = None) -> Da
 
     wide = features_.withColumns({"prior": scaled("prior"), "bm25": scaled("bm25")})
     score = sum((F.col(k) * v for k, v in w.items()), F.lit(0.0))
-    return wide.select("qid", "section_id", F.round(score, 6).alias("score")).withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "section_id")))
+    return wide.select("qid", "section_id", F.round(score, 8).alias("score")).withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "section_id")))

@@ -317,7 +317,7 @@ def rerank_features(spark, sf_dir):
 
 
 @query(f"""WITH {DOCS}, {_POOL}, {_FEATURES}, s AS (SELECT *, min(prior) OVER w AS pl, max(prior) OVER w AS ph, min(bm25) OVER w AS bl, max(bm25) OVER w AS bh FROM feat WINDOW w AS (PARTITION BY qid)),
-b AS (SELECT qid, section_id, round(CASE WHEN ph > pl THEN (prior - pl) / (ph - pl) ELSE 0 END + CASE WHEN bh > bl THEN (bm25 - bl) / (bh - bl) ELSE 0 END + 0.5 * coverage + 0.5 * proximity + 0.25 * phrase, 6) AS score FROM s)
+b AS (SELECT qid, section_id, round(CASE WHEN ph > pl THEN (prior - pl) / (ph - pl) ELSE 0 END + CASE WHEN bh > bl THEN (bm25 - bl) / (bh - bl) ELSE 0 END + 0.5 * coverage + 0.5 * proximity + 0.25 * phrase, 8) AS score FROM s)
 SELECT qid, section_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS new_rank FROM b""")
 def rerank_blend(spark, sf_dir):
     """F6, F7"""
