@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text for which one Python task's share of a packed exchange is planned.
 _OWN: dict[str, str] = {}
 
 
@@ -68,6 +68,19 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return slim.join(twice, "doc_id", "left_anti").unionByName(merged)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10000, where the session hasn't set another number: texts may be long, and both the JVM and Python hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with columns of these names renamed, and a function that names them back."""
+    away = {c: f"aside_{i}_{c}" for i, c in enumerate(docs.columns) if c in names}
+    return docs.withColumnsRenamed(away), lambda df: df.withColumnsRenamed({v: k for k, v in away.items()})
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether `df` has no more than `rows` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows

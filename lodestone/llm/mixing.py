@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, saved
+from lodestone.llm.common import aside, dropped, saved
 
 #: Relative error of a source's words at which its multiplier counts as solved.
 TOLERANCE = 1e-9
@@ -85,6 +85,7 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, tem
     mix_copies are replaced; all others are kept.
     """
     src = "mix_source"
+    docs, back = aside(docs, src, "mix_lambda")
     sized = docs.withColumns({"mix_words": words(docs["text"]), src: _source(docs)})
     hist = saved(sized.groupBy(F.col(src).alias("src"), F.col("mix_words").alias("words")).agg(F.count("*").alias("n")), "mixing-counts")
     have = {r.src: r.words for r in hist.groupBy("src").agg(F.sum(F.col("words") * F.col("n")).alias("words")).collect()}
@@ -107,10 +108,11 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, tem
     at = F.broadcast(at) if len(rows) <= 1_000_000 else at
     out = sized.join(at, src, "left").withColumn("mix_rate", F.coalesce(F.exp(F.col("mix_lambda") * F.col("mix_words") / F.lit(float(unit))), F.lit(0.0)))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)
-    return out.withColumn("mix_copies", F.floor(F.round("mix_rate", 12) + u).cast("bigint")).drop(src, "mix_lambda")
+    return out.withColumn("mix_copies", F.floor(F.round("mix_rate", 12) + u).cast("bigint")).drop(src, "mix_lambda").transform(back)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, each as often as `mixture` says, with the columns of `docs`."""
+    docs, back = aside(docs, "mix_words", "mix_rate", "mix_copies", "mix_copy")
     many = mixture(docs, **how).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return many.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return many.select(*(F.col(f"`{c}`") for c in docs.columns)).transform(back)

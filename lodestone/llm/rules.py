@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_enough
+from lodestone.llm.common import aside, small_enough
 
 #: Thresholds tried per feature: quantiles of the labelled rows.
 CUTS = 64
@@ -204,12 +204,5 @@ def decisions(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that no rule rejects, with their columns."""
-    names = [c for c in docs.columns]
-    return judged(docs, fit(docs, labels, **how)).where("rule_no is null").select(*(F.col(f"`{c}`") for c in names if c not in ("rule_no", "rule"))) if not {"rule_no", "rule"} & set(names) else _accepted_clashing(docs, labels, **how)
-
-
-def _accepted_clashing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """`accepted` for tables that have columns of the rules' names themselves."""
-    names = {c: f"kept_{i}_{c}" if c in ("rule_no", "rule") else c for i, c in enumerate(docs.columns)}
-    out = accepted(docs.withColumnsRenamed(names), labels, **how)
-    return out.withColumnsRenamed({v: k for k, v in names.items()})
+    docs, back = aside(docs, "rule_no", "rule")
+    return judged(docs, fit(docs, labels, **how)).where("rule_no is null").select(*(F.col(f"`{c}`") for c in docs.columns)).transform(back)

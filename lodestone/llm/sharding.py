@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, saved, small_enough
+from lodestone.llm.common import aside, dropped, saved, small_enough
 
 #: Buckets in which documents without links are numbered.
 NUMBERED = 256
@@ -151,6 +151,6 @@ def sharded(docs: DataFrame, **how) -> DataFrame:
     shards = how.get("shards", 16)
     at = assignment(docs, **how).select(F.col("doc_id").alias("shard_doc_id"), F.col("shard").alias("shard_found"))
     at = F.broadcast(at) if small_enough(at, 4_000_000) else at
-    kept = docs.drop("shard")
+    kept, back = aside(docs.drop("shard"), "shard_doc_id", "shard_found")
     joined = kept.join(at, kept["doc_id"].cast("bigint") == at["shard_doc_id"], "left")
-    return joined.withColumn("shard", F.coalesce("shard_found", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))).drop("shard_doc_id", "shard_found")
+    return joined.withColumn("shard", F.coalesce("shard_found", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))).drop("shard_doc_id", "shard_found").transform(back)
