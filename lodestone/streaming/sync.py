@@ -26,6 +26,7 @@ def current(spark: SparkSession, store: str) -> DataFrame:
 
 def windowed(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events (ts, event_type, value) by window and type; works on tables and streams, which drop what is later than `late`."""
-    out = events.withWatermark("ts", late) if events.isStreaming else events
+    out = events.withColumn("ts", events["ts"].cast("timestamp"))
+    out = out.withWatermark("ts", late) if events.isStreaming else out
     by = out.groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return by.select(F.col("window.start").alias("starts"), "event_type", "n", "total")
