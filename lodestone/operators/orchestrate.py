@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import fusion
+from lodestone.shared import saved_table
 
 MIN_SCORE, MAX_ROUNDS, SUB_QUERIES = 0.4, 1, 3
 STATUSES = ("valid", "partial", "invalid")
@@ -44,8 +45,9 @@ def sub_queries(queries: DataFrame, parts: DataFrame, most: int = SUB_QUERIES) -
 class Iterative:
     """Retrieve, judge, drop or demote what isn't relevant, ask again where evidence is weak.
 
-    Without an evaluator, or if it fails, results stay as they are.  `saved`
-    cuts the lineage after each round; it must write where all executors read.
+    Without an evaluator, or if it raises a ValueError, results stay as they
+    are.  `saved` cuts the lineage after each round; it must write where all
+    executors read.
     """
 
     search: Search
@@ -54,7 +56,7 @@ class Iterative:
     mode: str = "demote"
     rounds: int = MAX_ROUNDS
     least: float = MIN_SCORE
-    saved: Callable[[DataFrame], DataFrame] = staticmethod(lambda df: df.checkpoint())
+    saved: Callable[[DataFrame], DataFrame] = staticmethod(lambda df: saved_table(df, "iterative"))
 
     def run(self, queries: DataFrame) -> DataFrame:
         """(qid, rank, source, section_id) for all queries."""

@@ -456,13 +456,8 @@ def iterative_search(spark, sf_dir):
         share = hits.select("qid", "section_id").join(good.withColumn("ok", F.lit(1.0)), "section_id", "left").groupBy("qid").agg(F.avg(F.coalesce("ok", F.lit(0.0))).alias("score"))
         return relevant, share.withColumn("status", F.lit("valid"))
 
-    def saved(df):
-        from lodestone.shared import saved_table
-
-        return saved_table(df, "iterative")
-
     reword = lambda q: q.withColumn("query", F.regexp_replace("query", r"^\s*\S+\s*", ""))
-    return orchestrate.Iterative(search, judge, reword, saved=saved).run(asked)
+    return orchestrate.Iterative(search, judge, reword).run(asked)
 
 
 @query("""WITH h AS (SELECT lang, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang) SELECT lang, n FROM h WHERE lang <> 'en' ORDER BY n DESC, lang LIMIT 2""")
