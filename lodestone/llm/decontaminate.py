@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textgrams as G
-from lodestone.llm.common import new_path
+from lodestone.llm.common import new_path, small_batches
 
 #: Words of a shard; a longer document is a shard of its own.
-SHARD = 1_500_000
+SHARD = 600_000
 #: Words of test items that every task is given at once; more are searched in several passes.
 TEST_WORDS = 4_000_000
 
@@ -182,8 +182,11 @@ def _shards(batches: Iterator[pa.RecordBatch], norm: str) -> Iterator[tuple[pa.T
             if have >= SHARD:
                 yield pa.Table.from_batches(rows), np.concatenate(word), np.concatenate(([0], np.cumsum(np.concatenate(size))))
                 rows, word, size, have = [], [], [], 0
+                G.give_back()
     if rows:
         yield pa.Table.from_batches(rows), np.concatenate(word), np.concatenate(([0], np.cumsum(np.concatenate(size))))
+    rows, word, size = [], [], []
+    G.give_back(True)
 
 
 def _test_passes(bench: DataFrame, min_words: int) -> list[Items]:
@@ -214,6 +217,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, min_words: int = 13) -> Data
     under two ids is reported for both.  Empty tables give no rows; extra
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     norm = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), G.normalised(F.col("text")).alias("norm")).where("norm != ''")
 
     def search(items: Items):
@@ -242,6 +246,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, min_words: int = 13) -> Da
     Rows are dropped where they are read, so null and repeated ids need no
     join: every row is judged by its own text.  Null and empty texts stay.
     """
+    small_batches(docs.sparkSession)
     norm = "norm_" + new_path(docs.sparkSession, "x")[-8:]
     for items in _test_passes(bench, min_words):
 

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textgrams as G
-from lodestone.llm.common import dropped, one_row_per_id, saved, semi
+from lodestone.llm.common import dropped, one_row_per_id, saved, semi, small_batches
 
 #: N-grams gathered in a task before they are sent off in packets.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: N-grams for which a bucket of the screen is planned.
 PER_BUCKET = 2_000_000
 #: Documents of one verification cell's row or column.
@@ -94,6 +94,7 @@ def _send(n: int, buckets: int):
                     waiting = 0
         if ids:
             yield flush()
+        G.give_back(True)
 
     return packets
 
@@ -120,6 +121,8 @@ def _shared(table: pa.Table) -> pa.Table:
     shared = np.add.reduceat(shared, np.concatenate(([0], np.cumsum(size)[:-1])))
     keep = shared > 0
     none = pa.nulls(int(keep.sum()), pa.int64())
+    del keys, order, same, twice
+    G.give_back()
     return pa.table([pa.array(doc[keep]), none, none, none, pa.array(shared[keep])], schema=_SCREENED)
 
 
@@ -129,6 +132,7 @@ def _gram_arrays(n: int):
             for part in G.pieces(batch):
                 h, at = _doc_grams(part, n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["doc_id", "m", "grams"])
+        G.give_back(True)
 
     return arrays
 
@@ -159,6 +163,8 @@ def _verify(t: float):
             jac = common / (size[x] + size[y] - common)
             if jac >= t - 1e-12:
                 a.append(min(x, y)), b.append(max(x, y)), j.append(jac)
+        del rank, found
+        G.give_back()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], schema=out)
 
     return cell
@@ -183,6 +189,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, t: float = 0.6) -> DataFrame:
     """
     if not 0 < t <= 1 or n < 1:
         raise ValueError("t must be in (0, 1] and n at least 1")
+    small_batches(docs.sparkSession)
     unique = one_row_per_id(docs)
     total = unique.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(4, math.ceil(total / 6.5 / PER_BUCKET))

@@ -9,6 +9,8 @@ with a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,20 @@ _SLOT = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_LIBC = ctypes.CDLL(None)
+_given = [0.0]
+
+
+def give_back(now: bool = False) -> None:
+    """Returns freed memory to the system, at most a few times a second unless `now`: Spark keeps Python workers, and what they hold counts against the executor."""
+    t = time.monotonic()
+    if now or t - _given[0] > 0.3:
+        _given[0] = t
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words of `text` with single spaces between; null stays null."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
