@@ -22,6 +22,8 @@ from lodestone.llm.common import aside, dropped, saved
 #: Relative error of a source's words at which its multiplier counts as solved.
 TOLERANCE = 1e-9
 ITERATIONS = 100
+#: Sources up to which their multipliers are broadcast.
+BROADCAST = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -53,8 +55,9 @@ def solve(hist: DataFrame, wanted: dict[str, float], unit: float) -> dict[str, f
     for _ in range(ITERATIONS):
         top = {s: max(at[s] * ends[s][0], at[s] * ends[s][1]) for s in open_}
         step = spark.createDataFrame([(s, at[s], top[s]) for s in sorted(open_)], "src string, lam double, top double")
+        step = F.broadcast(step) if len(open_) <= BROADCAST else step
         part = F.col("n") * x * F.exp(F.col("lam") * x - F.col("top"))
-        sums = hist.where("words > 0").join(F.broadcast(step), "src").groupBy("src").agg(F.sum(part).alias("g"), F.sum(part * x).alias("h")).collect()
+        sums = hist.where("words > 0").join(step, "src").groupBy("src").agg(F.sum(part).alias("g"), F.sum(part * x).alias("h")).collect()
         for r in sums:
             off = math.log(r.g) + top[r.src] - math.log(wanted[r.src] / unit)
             if abs(off) < TOLERANCE:
@@ -105,7 +108,7 @@ def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, tem
     blank = {s for s, w in have.items() if not w} if weights is None else {s for s, w in have.items() if not w and weights.get(_name(s))}
     rows = [(s, v) for s, v in lam.items()] + [(s, 0.0) for s in sorted(blank)]
     at = docs.sparkSession.createDataFrame(rows, f"{src} string, mix_lambda double")
-    at = F.broadcast(at) if len(rows) <= 1_000_000 else at
+    at = F.broadcast(at) if len(rows) <= BROADCAST else at
     out = sized.join(at, src, "left").withColumn("mix_rate", F.coalesce(F.exp(F.col("mix_lambda") * F.col("mix_words") / F.lit(float(unit))), F.lit(0.0)))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)
     return out.withColumn("mix_copies", F.floor(F.round("mix_rate", 12) + u).cast("bigint")).drop(src, "mix_lambda").transform(back)

@@ -126,6 +126,16 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
 
 
+def tightest(rule: Rule) -> Rule:
+    """The same rule with one condition for each feature and direction."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        k = (c.feature, c.above)
+        if k not in out or (c.threshold > out[k].threshold) == c.above:
+            out[k] = c
+    return tuple(out.values())
+
+
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.9, min_cover: int = 5) -> list[Rule]:
     """An ordered list of rules for the rows marked `bad`; empty where one class is missing.
 
@@ -140,7 +150,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_co
         if not bad[grow].any() or bad[grow].all() or not prune.any():
             break
         part = lambda at: {k: v[at] for k, v in x.items()}
-        rule = _prune(_grow(part(grow), bad[grow], max_conditions), part(prune), bad[prune])
+        rule = tightest(_prune(_grow(part(grow), bad[grow], max_conditions), part(prune), bad[prune]))
         inside = covers(rule, x) & left if rule else np.zeros(len(bad), bool)
         p, n = int((inside & prune & bad).sum()), int((inside & prune & ~bad).sum())
         if not rule or p < (p + n) * min_precision or not p or int((inside & bad).sum()) < min_cover:

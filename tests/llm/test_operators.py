@@ -100,6 +100,11 @@ def test_rules_learn_a_conjunction():
     assert rules.learn(x, np.zeros(3000, bool)) == [] and rules.learn(x, np.ones(3000, bool)) == []
 
 
+def test_rules_are_tightest():
+    c = rules.Condition
+    assert rules.tightest((c("a", False, 0.6), c("b", True, 1.0), c("a", False, 0.4), c("b", True, 2.0), c("a", True, 0.1))) == (c("a", False, 0.4), c("b", True, 2.0), c("a", True, 0.1))
+
+
 def test_rules_awkward(odd, none, spark, docs, sf_dir):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 0), (2, None), (3, 1)], "doc_id long, quality int")
     assert rules.fit(odd, labels) == []
