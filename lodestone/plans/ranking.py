@@ -342,8 +342,8 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = b.select("item_id", F.col("text").alias("passage"), T.tokens(F.col("text")).alias("w")).withColumn("key", start(F.col("w"), F.lit(2)))
     few, many = inner.where(F.size("w") < 7), inner.where(F.size("w") >= 7)
     grams = d.select("doc_id", "text", T.tokens(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: start(F.col("w"), i)))).alias("key"))
-    hit = grams.join(F.broadcast(many), "key").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    short = d.join(F.broadcast(few), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    hit = grams.join(many, "key").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    short = d.join(few, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     return hit.unionByName(short).distinct().select(F.col("item_id").alias("qid"), F.col("doc_id").alias("source"))
 
 
