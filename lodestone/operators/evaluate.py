@@ -46,11 +46,15 @@ def answers(rows: DataFrame) -> DataFrame:
     """Rows (id, pred, golds array) with exact match and token F1, each the best over the golds; two empty answers agree."""
     each = rows.select("id", answer_normalised(F.col("pred")).alias("p"), F.explode("golds").alias("g")).select("id", "p", answer_normalised(F.col("g")).alias("g")).distinct()
     words = lambda c: F.filter(F.split(F.col(c), " "), lambda w: w != "")
-    count = lambda c, w: F.size(F.filter(words(c), lambda x: x == w))
-    overlap = F.aggregate(F.array_distinct(words("p")), F.lit(0), lambda a, w: a + F.least(count("p", w), count("g", w)))
+    pair = ["id", "p", "g"]
+    both = each.select(*pair, F.explode(words("p")).alias("w"), F.lit(1).alias("in_p"), F.lit(0).alias("in_g")).unionByName(each.select(*pair, F.explode(words("g")).alias("w"), F.lit(0).alias("in_p"), F.lit(1).alias("in_g")))
+    count = both.groupBy(*pair, "w").agg(F.sum("in_p").alias("in_p"), F.sum("in_g").alias("in_g"))
+    shared = count.groupBy(*pair).agg(F.sum(F.least("in_p", "in_g")).alias("overlap"))
+    overlap = F.coalesce("overlap", F.lit(0))
     n, m = F.size(words("p")), F.size(words("g"))
     f1 = F.when((n == 0) & (m == 0), 1.0).when(overlap == 0, 0.0).otherwise(2 * overlap / (n + m))
-    return each.withColumns({"em": (F.col("p") == F.col("g")).cast("int"), "f1": f1}).groupBy("id").agg(F.max("em").alias("em"), F.round(F.max("f1"), 6).alias("f1"))
+    scored = each.join(shared, pair, "left").where("p is not null and g is not null").withColumns({"em": (F.col("p") == F.col("g")).cast("int"), "f1": f1})
+    return scored.groupBy("id").agg(F.max("em").alias("em"), F.round(F.max("f1"), 6).alias("f1"))
 
 
 def answerable(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
