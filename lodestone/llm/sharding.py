@@ -1,10 +1,13 @@
 """Sharding by balanced label propagation.
 
-Documents are linked by the long sentences they share.  The links stay
-bipartite (document - sentence), so a sentence that k documents share costs k
-rows and not k*k; it weighs 1/(k-1) for each two of them, so every sentence
-weighs 1 to a document.  Sentences that the very same documents share are one
-link of added weight.
+Documents are linked by what they share: sentences of 40 characters or more,
+n-grams of 16 words and whole texts.  Of the n-grams of every 17 neighbouring
+ones the one with the least hash is taken (winnowing), so any run of 32 words
+that two documents share is a link, wherever their sentences end; so is every
+copy, however short.  The links stay bipartite (document - unit), so a unit that
+k documents share costs k rows and not k*k; it weighs 1/(k-1) for each two of
+them, so every unit weighs 1 to a document.  Units that the very same documents
+share are one link of added weight.
 
 Each round is a chain of Spark joins: labels are counted by sentence and shard,
 every document sums the counts of its sentences and wishes for the shard with
@@ -15,19 +18,46 @@ without links fill the shards up at the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import aside, dropped, saved, small_enough
+from lodestone.llm import textgrams as G
+from lodestone.llm.common import aside, dropped, saved, small_batches, small_enough
 
 #: Buckets in which documents without links are numbered.
 NUMBERED = 256
+#: Words of an n-gram, and neighbouring n-grams of which one is taken: runs of GRAM + SPAN - 1 words are links.
+GRAM, SPAN = 16, 17
+
+UNITS = pa.schema([("doc_id", pa.int64()), ("link", pa.int64())])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Winnowed n-grams and the whole text of rows (doc_id, norm, whole)."""
+    for batch in batches:
+        for part in G.pieces(batch):
+            h, text = G.winnowed(*G.grams(*G.words(part.column("norm")), GRAM), SPAN)
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+            whole = part.column("whole")
+            full = whole.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array(np.concatenate((doc[text], doc[full]))), pa.array(np.concatenate((h.view(np.int64), whole.drop_null().to_numpy())))], schema=UNITS)
+        G.give_back()
 
 
 def links(docs: DataFrame, least: int = 40) -> DataFrame:
-    """(doc_id, link, weight): sentences of `least` characters or more that several documents share."""
-    sentence = F.filter(F.transform(F.split(F.col("text").cast("string"), r"[.!?\n\r]+"), F.trim), lambda s: F.length(s) >= least)
-    has = saved(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.array_distinct(F.transform(sentence, lambda s: F.xxhash64(s)))).alias("link")).distinct(), "shard-sentences")
+    """(doc_id, link, weight, k): sentences of `least` characters or more, winnowed n-grams and whole texts that several documents share."""
+    small_batches(docs.sparkSession)
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sentence = F.filter(F.transform(F.split("text", r"[.!?\n\r]+"), F.trim), lambda s: F.length(s) >= least)
+    sentences = slim.select("doc_id", F.explode(F.array_distinct(F.transform(sentence, lambda s: F.xxhash64(s)))).alias("link"))
+    norm = slim.where(r"text rlike '\\S'").select("doc_id", "text", G.normalised(F.col("text")).alias("norm"))
+    whole = F.when(F.col("norm") != "", F.xxhash64("norm")).otherwise(F.xxhash64("text"))
+    units = norm.select("doc_id", "norm", whole.alias("whole")).mapInArrow(_units, "doc_id bigint, link bigint")
+    has = saved(sentences.unionByName(units).distinct(), "shard-units")
     by = has.groupBy("link").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("sig"), F.bit_xor(F.xxhash64(F.col("doc_id") + 1)).alias("sig2")).where("k > 1")
     alike = by.groupBy("k", "sig", "sig2").agg(F.min("link").alias("link"), F.count("*").alias("times"))
     return has.join(alike.select("link", (F.col("times") / (F.col("k") - 1)).alias("weight"), "k"), "link").select("doc_id", "link", "weight", "k")

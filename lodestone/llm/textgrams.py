@@ -141,6 +141,30 @@ def distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(size)))
 
 
+def winnowed(h: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of every `span` neighbouring ones of a text (of all, if it has fewer), and the text of each.
+
+    Texts with `span` equal neighbouring hashes have their least in common; least
+    hashes that follow each other are given once, but may come again later.
+    """
+    filled = np.flatnonzero(np.diff(at))
+    if not len(filled):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, size = h, 1
+    while size < span and len(low):
+        step = min(size, span - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(low)]
+    within = np.arange(len(low)) + span <= at[text + 1]
+    low, text = low[within], text[within]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
+    short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < span))
+    least = np.minimum.reduceat(h, at[filled])[np.searchsorted(filled, short)]
+    return np.concatenate((low[new], least)), np.concatenate((text[new], short))
+
+
 def pieces(batch: pa.RecordBatch, column: str = "norm", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, one row at least; bounds what hashing holds."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -289,6 +289,24 @@ def test_sharding_awkward(odd, none):
         sharding.assignment(none, shards=0)
 
 
+def test_sharding_links_runs_and_copies(spark):
+    """Against brute force, on texts that have no sentence of 40 characters."""
+    w = brute.word_list(2000, 5)
+    lines = lambda x: "!! ".join(" ".join(x[i : i + 3]) for i in range(0, len(x), 3)).upper()
+    texts = {k: lines(w[k * 60 : k * 60 + 60] + w[1500 : 1500 + run] + w[k * 60 + 900 : k * 60 + 920]) for k, run in enumerate((0, 60, 50, 33, 32, 32, 12, 0))}
+    texts |= {10: "One. Two. Three.", 11: "One. Two. Three.", 12: "Four. Five.", 13: lines(w[1400:1440]), 14: lines(w[1400:1440]), 15: "?!", 16: "?!", 17: " \n", 18: " \n", 19: None, 20: None, 21: ". ".join(w[1300:1332]), 22: lines(w[1290:1340])}
+    of = {}
+    for r in sharding.links(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        of.setdefault(r["doc_id"], set()).add(r["link"])
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    linked = {(a, b) for a, b in pairs if of.get(a, set()) & of.get(b, set())}
+    same = {(a, b) for a, b in pairs if (texts[a] or "").strip() and texts[a] == texts[b]}
+    runs = {(a, b): brute.longest_match(texts[a], texts[b])[0] for a, b in pairs}
+    must = same | {p for p, n in runs.items() if n >= sharding.GRAM + sharding.SPAN - 1}
+    may = same | {p for p, n in runs.items() if n >= sharding.GRAM}
+    assert len(must) > 10 and must <= linked <= may
+
+
 # 8 decontamination
 
 
