@@ -105,13 +105,38 @@ def blob_hashes(text: Column, scheme: str = "blob://") -> Column:
     return F.regexp_extract_all(text, F.lit(f"{scheme}([0-9a-f]{{64}})"), F.lit(1))
 
 
+def segments(text: Column, least: int = 60) -> Column:
+    """Paragraphs between blank lines; one of fewer than `least` bytes is put before the next, and left out at the end unless it is all there is."""
+    blocks = F.filter(F.transform(F.split(text, "\n\n"), lambda b: F.regexp_replace(b, r"\A\s+|\s+\z", "")), lambda b: b != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc: Column, block: Column) -> Column:
+        joined = F.when(acc["open"] == "", block).otherwise(F.concat(acc["open"], F.lit("\n"), block))
+        full = F.octet_length(joined) >= least
+        return F.struct(F.when(full, F.array_append(acc["done"], joined)).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("open"))
+
+    return F.aggregate(blocks, start, add, lambda acc: F.when((F.size(acc["done"]) == 0) & (acc["open"] != ""), F.array(acc["open"])).otherwise(acc["done"]))
+
+
+def _first_most(counts: dict[str, Column]) -> Column:
+    """The name with the highest count, the first in order of name; null if all are 0."""
+    best = F.greatest(*(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(sorted(counts.items()))))
+    return F.when(best["n"] > 0, best["name"])
+
+
+def _vote(words: Column) -> Column:
+    """The language most of whose stop words are among `words`, the first in order of name; null without any."""
+    among = lambda stop: lambda w: w.isin(*stop)
+    return _first_most({lang: F.size(F.filter(words, among(stop))) for lang, stop in STOPWORDS.items()})
+
+
 def guess_language(text: Column) -> Column:
-    """The language most of whose stop words the text has, the first in order of name; null without any."""
-    words = tokens(text)
-    among = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop)))
-    votes = [F.struct(among(s).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, s) in enumerate(sorted(STOPWORDS.items()))]
-    best = F.greatest(*votes)
-    return F.when(best["n"] > 0, best["lang"])
+    """The language of most bytes of the text, its segments judged one by one by their stop words, the first in order of name; if no segment has any, that of the text as a whole, or null."""
+    split = F.transform(segments(text), lambda s: F.struct(tokens(s).alias("words"), F.octet_length(s).alias("bytes")))
+    judged = F.transform(split, lambda s: F.struct(_vote(s["words"]).alias("lang"), s["bytes"].alias("bytes")))
+    of = lambda lang: lambda s: s["lang"] == lang
+    volume = {lang: F.aggregate(F.filter(judged, of(lang)), F.lit(0), lambda n, s: n + s["bytes"]) for lang in STOPWORDS}
+    return F.coalesce(_first_most(volume), _vote(tokens(text)))
 
 
 def front_matter(markdown: Column) -> tuple[Column, Column]:

@@ -305,7 +305,7 @@ def _votes_table(source: str, key: str, x: str) -> str:
 
 @query(f"WITH {_votes_table('documents', 'doc_id', 'text')} SELECT documents.doc_id, lang, guess FROM documents LEFT JOIN won USING (doc_id)")
 def lang_segments(spark, sf_dir):
-    """The stop-word vote of each text."""
+    """The language of most of each text, by stop words in its paragraphs."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", T.guess_language(F.col("text")).alias("guess"))
 
 

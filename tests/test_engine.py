@@ -300,3 +300,12 @@ def test_bm25_empty(spark):
     asked = spark.createDataFrame([(1, "x"), (2, None)], "qid long, text string")
     assert lexical.bm25(docs, asked, "qid").count() == 0
     assert LongType() == docs.schema["doc_id"].dataType
+
+
+def test_language_of_most_text(spark):
+    german, english = "der Hund und die Katze schlafen auf " + "x" * 200, "the cat and the dog of the man is to that it was for it and the"
+    rows = [(0, f"{german}\n\n{english}", "de"), (1, english, "en"), (2, f"le\n\n{english}", "en"), (3, f"{'z' * 80}\n\nthe", "en"), (4, "le\n\n \n\nles", "fr"), (5, "zzz", None), (6, None, None), (7, "", None), (8, f"le {'q' * 70}\n\nel {'q' * 70}", "es")]
+    got = spark.createDataFrame([r[:2] for r in rows], "i int, text string").select("i", T.guess_language(F.col("text")).alias("lang"), T.segments(F.col("text")).alias("s")).collect()
+    assert {r["i"]: r["lang"] for r in got} == {i: lang for i, _, lang in rows}
+    cut = {r["i"]: r["s"] for r in got}
+    assert cut[0] == [german, english] and cut[2] == [f"le\n{english}"] and cut[3] == ["z" * 80] and cut[4] == ["le\nles"] and cut[7] == []
