@@ -128,6 +128,15 @@ def postings_summary(spark, sf_dir):
     return postings(s, "section_id").groupBy("term").agg(F.count("*").alias("sections"), F.sum("tf").alias("occurrences"))
 
 
+@query(f"WITH {DOCS}, {SECTIONS}, t AS (SELECT section_id, unnest({tok('content')}) AS term FROM sections) SELECT term, count(DISTINCT section_id) AS sections, count(*) AS occurrences FROM t GROUP BY term")
+def postings_all_sections(spark, sf_dir):
+    """The inverted index of all sections, sentences too, by term."""
+    from lodestone.operators.lexical import postings
+
+    s = sections(documents(spark, sf_dir)).select("section_id", F.col("content").alias("text"))
+    return postings(s, "section_id").groupBy("term").agg(F.count("*").alias("sections"), F.sum("tf").alias("occurrences"))
+
+
 @query("SELECT vec_id, coalesce(CASE WHEN label <> 7 THEN 'c' || label END, '') AS collection_id FROM embeddings UNION ALL SELECT vec_id, 'odd' FROM embeddings WHERE label % 2 = 1")
 def vector_rows(spark, sf_dir):
     """A vector row for each of its collections, under '' without any."""

@@ -11,6 +11,7 @@ from lodestone.facade import PROFILES, Config, Engine
 from lodestone.functions import text as T
 from lodestone.operators import evaluate, filters, fusion, lexical, orchestrate, paging, parse, rerank, store, vector
 from lodestone.operators.filters import Condition
+from lodestone.plans import relations
 from lodestone.sources import files
 from lodestone.streaming import sync
 
@@ -309,3 +310,10 @@ def test_language_of_most_text(spark):
     assert {r["i"]: r["lang"] for r in got} == {i: lang for i, _, lang in rows}
     cut = {r["i"]: r["s"] for r in got}
     assert cut[0] == [german, english] and cut[2] == [f"le\n{english}"] and cut[3] == ["z" * 80] and cut[4] == ["le\nles"] and cut[7] == []
+
+
+def test_postings_have_sentences(spark, tmp_path):
+    text = "One two. Two three.\nThree."
+    spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: (r["sections"], r["occurrences"]) for r in relations.postings_all_sections(spark, str(tmp_path)).collect()}
+    assert got == {"one": (3, 3), "two": (4, 6), "three": (5, 6)}
