@@ -16,6 +16,18 @@ STOPWORDS = {
     "es": ("el", "los", "las", "y", "por", "con", "del", "una", "un", "para"),
     "fr": ("le", "les", "et", "des", "du", "est", "dans", "pour", "que", "une"),
 }
+#: PostgreSQL's text-search configurations by ISO 639-1 code.
+SEARCH_CONFIGS = {
+    "ar": "arabic", "da": "danish", "de": "german", "el": "greek", "en": "english", "es": "spanish", "fi": "finnish", "fr": "french",
+    "ga": "irish", "hu": "hungarian", "id": "indonesian", "it": "italian", "lt": "lithuanian", "nb": "norwegian", "ne": "nepali", "nl": "dutch",
+    "no": "norwegian", "pt": "portuguese", "ro": "romanian", "ru": "russian", "sv": "swedish", "ta": "tamil", "tr": "turkish",
+}
+
+
+def search_config(lang: Column) -> Column:
+    """The text-search configuration of a language, `simple` for those without one."""
+    names = F.create_map(*(F.lit(x) for pair in SEARCH_CONFIGS.items() for x in pair))
+    return F.coalesce(F.element_at(names, lang), F.lit("simple"))
 
 
 def tokens(text: Column) -> Column:

@@ -82,6 +82,12 @@ def language_config_map(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.element_at(names, F.col("lang")), F.lit("simple")).alias("config"))
 
 
+@query(f"SELECT doc_id, CASE lang {' '.join(f'WHEN {code!r} THEN {name!r}' for code, name in T.SEARCH_CONFIGS.items())} ELSE 'simple' END AS config FROM documents")
+def language_config_all(spark, sf_dir):
+    """The same with every language that has a configuration."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.search_config(F.col("lang")).alias("config"))
+
+
 _D = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4)"
 _KNN = """pairs AS (SELECT a.vec_id AS qid, b.vec_id, {d} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"""
 

@@ -317,3 +317,10 @@ def test_postings_have_sentences(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["term"]: (r["sections"], r["occurrences"]) for r in relations.postings_all_sections(spark, str(tmp_path)).collect()}
     assert got == {"one": (3, 3), "two": (4, 6), "three": (5, 6)}
+
+
+def test_search_config_of_each_language(spark):
+    """The codes and names of index/postgres/lang.go of the reference, written out."""
+    want = dict(x.split(":") for x in "ar:arabic da:danish nl:dutch en:english fi:finnish fr:french de:german el:greek hu:hungarian id:indonesian it:italian ga:irish lt:lithuanian ne:nepali nb:norwegian no:norwegian pt:portuguese ro:romanian ru:russian es:spanish sv:swedish ta:tamil tr:turkish".split())
+    rows = spark.createDataFrame([(c,) for c in [*want, "xx", "", None]], "lang string").select("lang", T.search_config(F.col("lang")).alias("config")).collect()
+    assert len(want) == 23 and {r["lang"]: r["config"] for r in rows} == want | {"xx": "simple", "": "simple", None: "simple"}
