@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), n=3, t=0.6)
+    return jaccard.linked(table(spark, sf_dir, "documents"), n=3, t=0.6)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assignment(table(spark, sf_dir, "documents"), shards=16, rounds=5, slack=0.02)
+    return sharding.assignment(table(spark, sf_dir, "documents"), shards=16, slack=0.02)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

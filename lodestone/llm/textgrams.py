@@ -173,3 +173,22 @@ def pieces(batch: pa.RecordBatch, column: str = "norm", most: int = 8 << 20) ->
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
         at, before = to, int(ends[to - 1])
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, their numbers ahead."""
+    size = np.array([len(arrays), *(len(a) for a in arrays)], np.int64)
+    plane = b"".join(np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays)
+    return size.tobytes() + (pa.Codec("zstd", compression_level=1).compress(plane, asbytes=True) if plane else b"")
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    sizes = np.frombuffer(body, np.int64, n, 8)
+    total = int(sizes.sum()) * 8
+    raw = np.frombuffer(pa.Codec("zstd").decompress(body[8 * (n + 1) :], total), np.uint8) if total else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for s in sizes.tolist():
+        out.append(np.ascontiguousarray(raw[at : at + 8 * s].reshape(8, s).T).reshape(-1).view(np.uint64) if s else np.zeros(0, np.uint64))
+        at += 8 * s
+    return out

@@ -224,7 +224,63 @@ def test_jaccard_matches_brute_force(docs, texts, n, t):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def _linked(pairs):
+    """(least id that links lead to, links) of each document, from all pairs."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def least(x):
+        seen, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    return {x: (least(x), len(y)) for x, y in near.items()}
+
+
+@pytest.mark.parametrize(("n", "t"), [(3, 0.6), (2, 0.35)])
+def test_jaccard_linked_matches_brute_force(docs, texts, n, t):
+    want = _linked(brute.jaccard_pairs(texts, n, t))
+    rows = jaccard.linked(docs, n, t).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_op5_matches_brute_force(spark, sf_dir, texts):
+    want = _linked(brute.jaccard_pairs(texts, 3, 0.6))
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in llm.op5_jaccard_join(spark, sf_dir).collect()} == want
+
+
+def test_jaccard_large_cluster(spark, monkeypatch):
+    """A chain and a crowd of near copies that share n-grams with each other and with copies of their own, in small blocks and cells."""
+    monkeypatch.setattr(jaccard, "FLUSH", 500), monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(3)
+    base = brute.word_list(80, 8)
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"new{r.randrange(9)}"
+        rows += [(2 * k, " ".join(w))] + [(2 * k + 1, "  ".join(w).upper())] * (k % 3 == 0)
+    chain = brute.word_list(400, 9)
+    rows += [(1000 + k, " ".join(chain[4 * k : 4 * k + 80])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = brute.jaccard_pairs(dict(rows), 3, 0.6)
+    assert _expanded(jaccard.jaccard_join(docs).collect()).keys() == pairs.keys()
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.linked(docs).collect()} == _linked(pairs)
+
+
+def test_jaccard_rarity_rises():
+    df = np.unique(np.concatenate((np.arange(1, 5000), (2.0 ** np.arange(12, 40, 0.05)).astype(np.int64))))
+    byte = jaccard.rarity(df).astype(int)
+    assert (np.diff(byte) >= 0).all() and (byte[:32] == np.arange(1, 33)).all() and byte.max() == 255
+
+
 def test_jaccard_awkward(odd, none):
+    assert {tuple(r) for r in jaccard.linked(odd).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (8, 8, 1), (9, 8, 1)}
+    assert jaccard.linked(none).count() == 0
     got = _expanded(jaccard.jaccard_join(odd).collect())
     assert set(got) == {(1, 2), (1, 3), (2, 3), (8, 9)}
     assert jaccard.jaccard_join(none).count() == 0
@@ -232,6 +288,9 @@ def test_jaccard_awkward(odd, none):
 
 def test_jaccard_groups(spark):
     pairs = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (None, 2), (7, 7)], "doc_a long, doc_b long")
+    path = spark.createDataFrame([(k, k + 1) for k in range(100, 400)], "doc_a long, doc_b long")
+    assert {r["group_id"] for r in jaccard.groups(path).collect()} == {100} and jaccard.groups(path).count() == 301
+    assert jaccard.groups(path.limit(0)).count() == 0
     assert {(r[0], r[1]) for r in jaccard.groups(pairs).collect()} == {(5, 1), (4, 1), (3, 1), (1, 1), (9, 8), (8, 8)}
 
 
