@@ -19,8 +19,8 @@ def _jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat both doc_id and text are copies of each other, and one of
     them stays.  Rows with a null doc_id can't be linked and stay.
     """
-    member = jaccard.groups(jaccard.jaccard_join(docs, n=3, t=0.6))
-    kept = common.semi(docs, common.saved(member.where("doc_id != group_id").select("doc_id"), "near-copies"), "left_anti")
+    member = jaccard.linked(docs, n=3, t=0.6)
+    kept = common.semi(docs, member.where("doc_id != class_id").select("doc_id"), "left_anti")
     twice = common.repeated_ids(kept)
     if twice is None:
         return kept
