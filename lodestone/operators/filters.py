@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "exists", "not_exists")
 _KEY = re.compile(r"[A-Za-z0-9_-]{1,128}")
@@ -65,7 +66,25 @@ def check_keys(conditions: Iterable[Condition]) -> None:
             raise ValueError(f"no operator {c.op!r}")
 
 
-_CANONICAL_TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{9}Z$"
+def canonical_json(column: Column) -> Column:
+    """Metadata as JSON with every value of its top level canonical; what isn't a JSON object stays as it is."""
+
+    def written(text: str | None) -> str | None:
+        try:
+            meta = json.loads(text) if text else None
+        except ValueError:
+            return text
+        return json.dumps(canonical_metadata(meta), ensure_ascii=False) if isinstance(meta, dict) else text
+
+    return F.udf(written, StringType(), useArrow=True)(column)
+
+
+def canonical_string(s: Column) -> Column:
+    """RFC 3339 times as UTC with nine digits, other strings as they are; the same as `canonical`, in the JVM."""
+    whole = F.try_to_timestamp(F.regexp_replace(s, r"^(.{10})[Tt](.{8})(?:\.[0-9]+)?(.*)$", "$1T$2$3"))
+    utc = F.date_format(F.to_utc_timestamp(whole, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    out = F.concat(utc, F.lit("."), F.rpad(F.regexp_extract(s, r"\.([0-9]+)", 1), 9, "0"), F.lit("Z"))
+    return F.when(s.rlike("^" + _TIME.pattern + "$"), F.coalesce(out, s)).otherwise(s)
 
 
 def _value(meta: str, key: str) -> str:
@@ -89,7 +108,7 @@ def _compare(meta: str, key: str, op: str, value: object) -> Column:
         numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
         left, guard = _typed(meta, key, "double"), numeric
     elif isinstance(value, str):
-        left, guard = _typed(meta, key, "string"), kind == "STRING"
+        left, guard = canonical_string(_typed(meta, key, "string")), kind == "STRING"
     elif value is None:
         return (kind == "VOID") if op == "eq" else F.lit(False)
     else:

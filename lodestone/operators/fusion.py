@@ -5,9 +5,13 @@ Results are rows (qid, rank, source, sections, ...), ranks counted from 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import saved_table
+
 #: Constant of reciprocal-rank fusion.
 RRF = 60
 #: A leg is asked for so many times the results wanted.
@@ -112,3 +116,28 @@ def postfilter_windows(target: int, total: int) -> list[int]:
     while out[-1] < min(MOST, total):
         out.append(min(3 * out[-1], MOST))
     return out
+
+
+def postfiltered(ranked: DataFrame, judge: Callable[[DataFrame], DataFrame], target: int, key: str = "source") -> DataFrame:
+    """The first `target` rows of each query in `ranked` (qid, rank, key, ...) that a judge lets through, with new ranks.
+
+    Windows are those of `postfilter_windows`; only queries that are still short
+    go on to the next one.  `judge` takes keys and returns the good ones; it
+    sees each key once.
+    """
+    ranked = ranked.where(F.col("rank") <= MOST)
+    short, seen, good, before = ranked.select("qid").distinct(), None, None, 0
+    for upto in postfilter_windows(target, MOST):
+        window = ranked.where((F.col("rank") > before) & (F.col("rank") <= upto)).join(short, "qid", "left_semi")
+        new = window.select(key).distinct()
+        new = saved_table(new if seen is None else new.join(seen, key, "left_anti"), "judged")
+        passed = saved_table(judge(new).select(key).distinct(), "passed")
+        seen = new if seen is None else seen.unionByName(new)
+        good = passed if good is None else good.unionByName(passed)
+        many = ranked.where(F.col("rank") <= upto).join(good, key, "left_semi").groupBy("qid").count().where(F.col("count") >= target)
+        short = saved_table(ranked.where(F.col("rank") > upto).select("qid").distinct().join(many, "qid", "left_anti"), "short")
+        before = upto
+        if short.isEmpty():
+            break
+    kept = ranked.limit(0) if good is None else ranked.join(good, key, "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= target)

@@ -1,23 +1,77 @@
-"""Lexical retrieval: postings, BM25 and hits by source, for all queries at once."""
+"""Lexical retrieval: postings, BM25 and hits by source, for all queries at once.
+
+`best` is the way to rankings: texts are tokenised once into codes of the
+queries' terms, and blocks of them are scored against all queries, so that only
+k rows a block and query are shuffled.  `bm25` scores by joins; it is taken for
+more query terms than QUERY_TERMS, and where all scores are wanted.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.shared import saved_table
 
 K1, B = 1.2, 0.75
+#: (query, term) pairs up to which they are broadcast, at 24 bytes each.
+QUERY_TERMS = 2_000_000
+#: Meetings of a document's terms and queries that are scored at once.
+MEETINGS = 4_000_000
+
+
+#: Text to an array of terms.  `analyzed` makes one of several languages' stemmers.
+Analyzer = Callable[[Column], Column]
+
+
+def analyzed(stem: Callable[[Column], Column], keep: bool = True) -> Analyzer:
+    """An analyzer that stems each token, and with `keep` has the token itself as well, once where they are the same."""
+
+    def terms(text: Column) -> Column:
+        plain = T.tokens(text)
+        stems = F.filter(F.transform(plain, stem), lambda w: w != "")
+        if not keep:
+            return stems
+        return F.concat(plain, F.filter(F.zip_with(plain, F.transform(plain, stem), lambda a, b: F.when((a != b) & (b != ""), b)), lambda w: w.isNotNull()))
+
+    return terms
+
+
+def by_language(analyzers: dict[str, Analyzer], guess: Callable[[Column], Column] = T.guess_language) -> Analyzer:
+    """Each text under the analyzer of its own language, found by `guess`; plain tokens for languages without one."""
+
+    def terms(text: Column) -> Column:
+        out = T.tokens(text)
+        for lang, analyzer in sorted(analyzers.items()):
+            out = F.when(guess(text) == lang, analyzer(text)).otherwise(out)
+        return out
+
+    return terms
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def by_languages(analyzers: dict[str, Analyzer]) -> Analyzer:
+    """Every text under all analyzers at once, the terms of each marked with its language, and the plain tokens."""
+
+    def terms(text: Column) -> Column:
+        mark = lambda lang: lambda w: F.concat(F.lit(lang + ":"), w)
+        return F.concat(T.tokens(text), *(F.transform(analyzer(text), mark(lang)) for lang, analyzer in sorted(analyzers.items())))
+
+    return terms
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
     """(key, term, tf, len): one row for each term of each text."""
-    terms = docs.select(key, T.tokens(F.col(text)).alias("terms")).select(key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    terms = docs.select(key, analyzer(F.col(text)).alias("terms")).select(key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def query_terms(queries: DataFrame, qid: str, text: str = "text") -> DataFrame:
-    return queries.select(F.col(qid).alias("qid"), F.explode(T.unique_terms(F.col(text))).alias("term"))
+def query_terms(queries: DataFrame, qid: str, text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
+    return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(analyzer(F.col(text)))).alias("term"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -28,22 +82,101 @@ def term_score(idf_: Column, tf: Column, length: Column, average: Column) -> Col
     return idf_ * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, qid: str, key: str = "doc_id") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, qid: str, key: str = "doc_id", analyzer: Analyzer = T.tokens) -> DataFrame:
     """(qid, key, len, terms, score) of every document that has a term of the query.
 
     Queries' terms filter the postings before they are shuffled: Spark
     broadcasts them where they are small.  Sums are rounded to 6 digits, so
     results don't depend on the order of addition.
     """
-    wanted = query_terms(queries, qid)
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("average"))
-    post = postings(docs, key).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = query_terms(queries, qid, analyzer=analyzer)
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(analyzer(F.col("text")))).alias("average"))
+    post = postings(docs, key, analyzer=analyzer).join(wanted.select("term").distinct(), "term", "left_semi")
     frequency = post.groupBy("term").agg(F.count("*").alias("df"))
     hit = post.join(frequency, "term").join(wanted, "term").crossJoin(F.broadcast(size))
     score = term_score(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("len"), F.col("average"))
     return hit.groupBy("qid", key).agg(F.first("len").alias("len"), F.count("*").alias("terms"), F.round(F.sum(score), 6).alias("score"))
 
 
+def _coded(docs: DataFrame, key: str, hashes: np.ndarray, text: str, analyzer: Analyzer) -> DataFrame:
+    """(key, len, codes, tf) of every text: the place in `hashes` of each of its terms that is there, and how often it comes."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            size = np.diff(words.offsets.to_numpy())
+            h = words.flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[at] == h
+            pair, tf = np.unique(doc[known] * np.int64(len(hashes)) + at[known], return_counts=True)
+            starts = np.searchsorted(pair // len(hashes), np.arange(len(size) + 1)).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int32))) for x in (pair % len(hashes), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(size.astype(np.int32)), *lists], [key, "len", "codes", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    words = docs.select(key, F.transform(analyzer(F.col(text)), lambda w: F.xxhash64(w)).alias("words"))
+    return words.mapInArrow(code, f"{key} {kind}, len int, codes array<int>, tf array<int>")
+
+
+def best(docs: DataFrame, queries: DataFrame, qid: str, k: int, key: str = "doc_id", only: DataFrame | None = None, text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
+    """(qid, key, len, terms, score, rank) of each query's k best documents by BM25; ties by key.
+
+    With `only` (a table of keys) none but those are ranked, under the whole
+    corpus's statistics.  A document without a term of the query isn't ranked;
+    scores are rounded to 6 digits before they are compared.  Null texts and
+    queries have no terms.
+    """
+    wanted = query_terms(queries, qid, analyzer=analyzer).withColumn("h", F.xxhash64("term"))
+    asked = wanted.select("qid", "h").distinct().limit(QUERY_TERMS + 1).toArrow().combine_chunks()
+    if asked.num_rows > QUERY_TERMS:
+        scored = bm25(docs.select(key, F.col(text).alias("text")), queries, qid, key, analyzer)
+        return top(scored if only is None else scored.join(only, key, "left_semi"), k, key)
+    qids = asked["qid"].combine_chunks().dictionary_encode() if asked.num_rows else pa.array([], asked.schema.field("qid").type).dictionary_encode()
+    hashes, term = np.unique(asked["h"].to_numpy(), return_inverse=True)
+    schema = f"qid {dict(wanted.dtypes)['qid']}, {key} {docs.schema[key].dataType.simpleString()}, len int, terms bigint, score double"
+    if not len(hashes):
+        return top(docs.sparkSession.createDataFrame([], schema), k, key)
+    order = np.argsort(term, kind="stable")
+    query, bounds = qids.indices.to_numpy()[order], np.searchsorted(term[order], np.arange(len(hashes) + 1))
+    coded = saved_table(_coded(docs, key, hashes, text, analyzer), "coded")
+    size = coded.agg(F.count("*"), F.avg("len")).first()
+    df = np.zeros(len(hashes))
+    for code, n in coded.select(F.explode("codes").alias("code")).groupBy("code").count().collect():
+        df[code] = n
+    weight = np.maximum(0.0, np.log(1 + (size[0] - df + 0.5) / (df + 0.5)))
+    sent = docs.sparkSession.sparkContext.broadcast((qids.dictionary, query, bounds, weight, size[1]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, query, bounds, weight, average = sent.value
+        many = np.diff(bounds)
+        for batch in batches:
+            codes, length = batch.column("codes"), batch.column("len").to_numpy()
+            starts = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+            code, tf = codes.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
+            doc = np.repeat(np.arange(len(length)), np.diff(starts))
+            part = weight[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
+            meet = np.concatenate(([0], np.cumsum(many[code])))[starts] + np.arange(len(starts)) * len(names)
+            lo = 0
+            while lo < len(length):
+                hi = max(lo + 1, int(np.searchsorted(meet, meet[lo] + MEETINGS, "right")) - 1)
+                own = slice(starts[lo], starts[hi])
+                times = many[code[own]]
+                q = query[np.repeat(bounds[code[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                spot = np.repeat(doc[own] - lo, times) * len(names) + q
+                shape = (hi - lo, len(names))
+                total = np.round(np.bincount(spot, np.repeat(part[own], times), shape[0] * shape[1]).astype(np.float64), 6).reshape(shape)
+                terms = np.bincount(spot, minlength=shape[0] * shape[1]).reshape(shape)
+                ranked = np.where(terms > 0, total, -1.0)
+                least = np.partition(ranked, max(0, shape[0] - k), axis=0)[max(0, shape[0] - k)]
+                d, q = np.nonzero((ranked >= least) & (terms > 0))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(key).take(pa.array(d + lo)), pa.array(length[d + lo]), pa.array(terms[d, q]), pa.array(total[d, q])], ["qid", key, "len", "terms", "score"])
+                lo = hi
+
+    ranked = coded if only is None else coded.join(only.select(key), key, "left_semi")
+    return top(ranked.mapInArrow(score, schema), k, key)
+
+
 def top(scored: DataFrame, k: int, *tie: str, by: str = "score", ascending: bool = False) -> DataFrame:
     """The k best rows of each query, with their rank from 1."""
     order = [F.col(by).asc() if ascending else F.col(by).desc(), *(F.col(c) for c in tie)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -41,12 +42,37 @@ def sub_queries(queries: DataFrame, parts: DataFrame, most: int = SUB_QUERIES) -
     return first.withColumn("grp", F.row_number().over(Window.partitionBy("qid").orderBy("n")) - 1).where(F.col("grp") <= most).select("qid", "grp", "query")
 
 
+def grounded(queries: DataFrame, hits: DataFrame, evaluate: Evaluate) -> DataFrame:
+    """(qid, status, score) of every query (qid, query): the evaluator's verdict, partial and 0.5 without one, invalid and 0 without hits."""
+    try:
+        verdict = saved_table(evaluate(hits)[1].select("qid", "status", "score"), "verdict")
+    except Exception as e:  # noqa: BLE001
+        warnings.warn(f"no verdict: {e!r:.500}", stacklevel=2)
+        verdict = queries.select("qid", F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("score"))
+    there = hits.select("qid").distinct().withColumn("there", F.lit(True))
+    known = queries.select("qid").join(there, "qid", "left").join(verdict, "qid", "left")
+    return known.select("qid", F.when(F.col("there"), status(F.col("status"))).otherwise("invalid").alias("status"), F.when(F.col("there"), score(F.col("score"))).otherwise(0.0).alias("score"))
+
+
+def hypothetical(queries: DataFrame, generate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """HyDE: queries (qid, text) with the passage that `generate` made up for each appended; as they are where it made none."""
+    made = generate(queries).select("qid", F.col("text").alias("passage"))
+    return queries.join(made, "qid", "left").select("qid", F.when(F.trim(F.coalesce("passage", F.lit(""))) != "", F.concat_ws("\n", "text", "passage")).otherwise(F.col("text")).alias("text"))
+
+
+def widened(queries: DataFrame, targets: DataFrame, translate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Queries (qid, text) with their translations into the target languages (lang) appended, each once; `translate` takes (qid, text, lang)."""
+    asked = queries.join(F.broadcast(targets.select("lang")))
+    made = translate(asked).select("qid", "lang", F.trim("text").alias("other")).join(queries, "qid").where("other != '' and other != text")
+    listed = made.groupBy("qid").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("lang", "other"))), lambda r: r["other"])), "\n").alias("others"))
+    return queries.join(listed, "qid", "left").select("qid", F.concat_ws("\n", "text", "others").alias("text"))
+
+
 @dataclass
 class Iterative:
     """Retrieve, judge, drop or demote what isn't relevant, ask again where evidence is weak.
 
-    Without an evaluator, or if it raises a ValueError, results stay as they
-    are.  `saved` cuts the lineage after each round; it must write where all
+    Without an evaluator, or if it fails, results stay as they are.  `saved` cuts the lineage after each round; it must write where all
     executors read.
     """
 
@@ -65,11 +91,12 @@ class Iterative:
         while True:
             verdict = None
             if self.evaluate is not None:
-                try:
-                    relevant, verdict = self.evaluate(hits)
+                try:  # what the evaluator does lazily fails here too
+                    relevant, verdict = (self.saved(x) for x in self.evaluate(hits))
                     judged = self._apply(hits, relevant)
-                except ValueError:
-                    judged = hits
+                except Exception as e:  # noqa: BLE001  (it may be any model's)
+                    warnings.warn(f"results are returned without a verdict: {e!r:.500}", stacklevel=2)
+                    judged, verdict = hits, None
             else:
                 judged = hits
             if round_ >= self.rounds or verdict is None or self.reformulate is None:

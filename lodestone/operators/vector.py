@@ -33,15 +33,20 @@ def quantise(v: Column) -> Column:
 def _packed(vectors: DataFrame, vec_id: str, vec: str, group: str | None, prefix: str) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, groups = np.array(batch.column("id").to_pylist(), np.int64), batch.column("grp").to_pylist()
-            rows = [(i, g, v) for i, g, v in zip(ids.tolist(), groups, batch.column("vec").to_pylist()) if v is not None and None not in v]
-            for g in sorted({r[1] for r in rows}, key=str):
-                own = [r for r in rows if r[1] == g]
+            if not batch.num_rows:
+                continue
+            ids, groups = batch.column("id").to_numpy(), batch.column("grp").dictionary_encode()
+            code = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for c in np.unique(code).tolist():
+                own = np.flatnonzero(code == c)
+                name = None if c < 0 else groups.dictionary[c].as_py()
                 for at in range(0, len(own), BLOCK):
                     part = own[at : at + BLOCK]
-                    yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.string()), "ids": pa.array([np.array([r[0] for r in part], np.int64).tobytes()]), "flat": pa.array([np.array([r[2] for r in part], np.float64).tobytes()])})
+                    yield pa.RecordBatch.from_pydict({"grp": pa.array([name], pa.string()), "ids": pa.array([ids[part].tobytes()]), "flat": pa.array([flat[part].tobytes()])})
 
-    slim = vectors.select(F.col(vec_id).cast("bigint").alias("id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), F.col(vec).cast("array<double>").alias("vec")).where("vec is not null and id is not null")
+    slim = vectors.select(F.col(vec_id).cast("bigint").alias("id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), F.col(vec).cast("array<double>").alias("vec"))
+    slim = slim.where("vec is not null and id is not null and not exists(vec, x -> x is null)")
     return slim.mapInArrow(pack, "grp string, ids binary, flat binary").select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("grp", "ids", "flat")))
 
 
@@ -54,31 +59,56 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * a @ b.T
 
 
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of pairs of rows; those of l2 by differences, so equal vectors are at 0."""
+    if metric == "l2":
+        return np.sqrt(((a - b) ** 2).sum(1))
+    if metric == "cosine":
+        return 1 - np.einsum("ij,ij->i", a, b) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-300)
+    return ((a > 0) != (b > 0)).sum(1).astype(np.float64)
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, skip: np.ndarray | None, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, distance) of each query's k nearest; ties by id.
+
+    The matrix product picks all that may be among them, and their distances are then taken one by one.
+    """
+    d = _distances(q, v, metric)
+    if skip is not None:
+        d[skip] = np.inf
+    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, col = np.nonzero((d <= kth[:, None] + 1e-5 * (1 + np.abs(kth[:, None]))) & np.isfinite(d))
+    step = max(1, (64 << 20) // (8 * q.shape[1]))
+    near = np.concatenate([_exact(q[row[i : i + step]], v[col[i : i + step]], metric) for i in range(0, len(row), step)] or [np.zeros(0)])
+    by = np.lexsort((ids[col], near, row))
+    row, col, near = row[by], col[by], near[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k], near[place < k]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", qid: str = "vec_id", vec_id: str = "vec_id", vec: str = "embedding", per_group: str | None = None, not_self: bool = True, digits: int = 4) -> DataFrame:
     """(qid, vec_id, distance, rank[, grp]): each query's k nearest vectors, or k of each group.
 
-    metric is l2, cosine or hamming (of sign bits).  Distances are rounded to
-    `digits`; ties go to the lesser id.  Null vectors and ids take no part.
+    metric is l2, cosine or hamming (of sign bits).  Ranks go by the full
+    distance, ties to the lesser id; the distances returned are rounded to
+    `digits`.  Null ids, and vectors that are null or have a null in them, take
+    no part.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                qi, vi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["v_ids"], np.int64)
-                q, v = np.frombuffer(r["q_flat"]).reshape(len(qi), -1), np.frombuffer(r["v_flat"]).reshape(len(vi), -1)
-                d = np.round(_distances(q, v, metric), digits) + 0.0
-                if not_self:
-                    d[qi[:, None] == vi[None, :]] = np.inf
-                by = np.argsort(vi, kind="stable")
-                near = by[np.argsort(d[:, by], axis=1, kind="stable")[:, :k]]
-                got = np.take_along_axis(d, near, 1)
-                ok = np.isfinite(got)
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(np.repeat(qi, near.shape[1])[ok.ravel()]), "vec_id": pa.array(vi[near][ok]), "distance": pa.array(got[ok]), "grp": pa.array([r["v_grp"]] * int(ok.sum()), pa.string())})
+            for i in range(batch.num_rows):
+                raw = lambda c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int64 if c.endswith("ids") else np.float64)  # noqa: B023, E731
+                qi, vi = raw("q_ids"), raw("v_ids")
+                q, v = raw("q_flat").reshape(len(qi), -1), raw("v_flat").reshape(len(vi), -1)
+                row, col, near = _nearest(q, v, vi, qi[:, None] == vi[None, :] if not_self else None, k, metric)
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(qi[row]), "vec_id": pa.array(vi[col]), "distance": pa.array(near), "grp": pa.array([batch.column("v_grp")[i].as_py()] * len(row), pa.string())})
 
     pairs = _packed(queries, qid, vec, None, "q").crossJoin(_packed(vectors, vec_id, vec, per_group, "v"))
     found = pairs.mapInArrow(best, "qid long, vec_id long, distance double, grp string")
     keys = ["qid", "grp"] if per_group else ["qid"]
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    out = out.withColumn("distance", F.round("distance", digits) + 0.0)
     return out if per_group else out.drop("grp")
 
 
@@ -88,8 +118,9 @@ def coarse(queries: DataFrame, vectors: DataFrame, k: int, widen: int = 8, vec_i
     a = queries.select(F.col(vec_id).alias("qid"), F.col(vec).cast("array<double>").alias("a"))
     b = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("b"))
     square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    scored = first.join(a, "qid").join(b, "vec_id").select("qid", "vec_id", F.round(F.sqrt(square), digits).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    scored = first.join(a, "qid").join(b, "vec_id").select("qid", "vec_id", F.sqrt(square).alias("distance"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    return best.withColumn("distance", F.round("distance", digits))
 
 
 def resolve(matches: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import evaluate, filters, fusion, lexical, orchestrate, paging, render, rerank, store, vector
 from lodestone.plans.base import BRIDGE, DOCS, META, SECTIONS, bm25_sql, bridge, documents, query, sections, table, tok, top_sql, with_metadata
+from lodestone.shared import saved_table
 
 _BY = "score DESC, doc_id"
 
@@ -16,10 +17,14 @@ def _scored(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     return lexical.bm25(documents(spark, sf_dir) if docs is None else docs, table(spark, sf_dir, "benchmark"), "item_id")
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int, docs: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    return lexical.best(documents(spark, sf_dir) if docs is None else docs, table(spark, sf_dir, "benchmark"), "item_id", k, only=only)
+
+
 @query(f"WITH {DOCS}, {bm25_sql()}, {top_sql('best', 'scored', 5, _BY)} SELECT qid, doc_id, score, rank FROM best")
 def bm25_topk(spark, sf_dir):
     """The five best documents for each benchmark passage."""
-    return lexical.top(_scored(spark, sf_dir), 5, "doc_id").select("qid", "doc_id", "score", "rank")
+    return _best(spark, sf_dir, 5).select("qid", "doc_id", "score", "rank")
 
 
 @query(f"""WITH {DOCS}, {bm25_sql()}, {top_sql("hits", "scored", 50, _BY)}
@@ -27,7 +32,7 @@ SELECT qid, collection_id, round(sum(score), 6) AS score, string_agg(doc_id::VAR
 def bm25_group_by_collection(spark, sf_dir):
     """The 50 best hits grouped, scores summed, in order of hits."""
     docs = documents(spark, sf_dir)
-    hits = lexical.top(_scored(spark, sf_dir, docs), 50, "doc_id").join(docs.select("doc_id", "collection_id"), "doc_id")
+    hits = _best(spark, sf_dir, 50, docs).join(docs.select("doc_id", "collection_id"), "doc_id")
     out = lexical.by_source(hits, "collection_id", "doc_id")
     return out.select("qid", "collection_id", "score", F.array_join(F.col("sections").cast("array<string>"), ",").alias("sections"))
 
@@ -38,7 +43,7 @@ def match_collection_restricted(spark, sf_dir):
     """The match within three collections."""
     docs = documents(spark, sf_dir)
     few = lexical.restricted(docs, bridge(docs), ["src1", "src2", "german"])
-    return lexical.top(_scored(spark, sf_dir, few), 5, "doc_id").select("qid", "doc_id", "score", "rank")
+    return _best(spark, sf_dir, 5, few).select("qid", "doc_id", "score", "rank")
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({tok("text")}) AS t FROM documents)
@@ -54,7 +59,7 @@ SELECT qid, doc_id, round(score / (1 + ln(len)), 6) AS log_length, round(score /
 def rank_normalized(spark, sf_dir):
     """Scores under each normalisation mask."""
     docs = documents(spark, sf_dir)
-    best = lexical.top(_scored(spark, sf_dir, docs), 10, "doc_id").join(docs.select("doc_id", F.size(T.unique_terms(F.col("text"))).alias("uniq")), "doc_id")
+    best = _best(spark, sf_dir, 10, docs).join(docs.select("doc_id", F.size(T.unique_terms(F.col("text"))).alias("uniq")), "doc_id")
     by = lambda mask: F.round(lexical.normalise_rank(F.col("score"), F.col("len"), F.col("uniq"), mask), 6)
     return best.select("qid", "doc_id", by(1).alias("log_length"), by(2).alias("by_length"), by(8).alias("by_unique"), by(32).alias("bounded"), by(41).alias("mixed"))
 
@@ -75,25 +80,18 @@ def simple_union_stemmed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(both).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'de' THEN 'german' WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' ELSE 'simple' END AS config FROM documents")
+@query(f"SELECT doc_id, CASE lang {' '.join(f'WHEN {code!r} THEN {name!r}' for code, name in T.SEARCH_CONFIGS.items())} ELSE 'simple' END AS config FROM documents")
 def language_config_map(spark, sf_dir):
     """A text-search configuration by language, `simple` for those without one."""
-    names = F.create_map(*(F.lit(x) for pair in (("de", "german"), ("en", "english"), ("fr", "french")) for x in pair))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.element_at(names, F.col("lang")), F.lit("simple")).alias("config"))
-
-
-@query(f"SELECT doc_id, CASE lang {' '.join(f'WHEN {code!r} THEN {name!r}' for code, name in T.SEARCH_CONFIGS.items())} ELSE 'simple' END AS config FROM documents")
-def language_config_all(spark, sf_dir):
-    """The same with every language that has a configuration."""
     return table(spark, sf_dir, "documents").select("doc_id", T.search_config(F.col("lang")).alias("config"))
 
 
-_D = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4)"
+_D = "list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _KNN = """pairs AS (SELECT a.vec_id AS qid, b.vec_id, {d} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"""
 
 
 def _knn_sql(d: str) -> str:
-    return f"WITH {_KNN.format(d=d)}, {top_sql('best', 'pairs', 5, 'distance, vec_id')} SELECT qid, vec_id, distance, rank FROM best"
+    return f"WITH {_KNN.format(d=d)}, {top_sql('best', 'pairs', 5, 'distance, vec_id')} SELECT qid, vec_id, round(distance, 4) + 0.0 AS distance, rank FROM best"
 
 
 @query(_knn_sql(_D))
@@ -103,7 +101,7 @@ def knn_l2(spark, sf_dir):
     return vector.knn(e, e, 5, "l2")
 
 
-@query(_knn_sql("round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0"))
+@query(_knn_sql("1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
 def knn_cosine(spark, sf_dir):
     """D2"""
     e = table(spark, sf_dir, "embeddings")
@@ -113,7 +111,7 @@ def knn_cosine(spark, sf_dir):
 @query(f"""WITH bits AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
 h AS (SELECT a.vec_id AS qid, b.vec_id, list_distance(a.s::DOUBLE[], b.s::DOUBLE[]) ** 2 AS ham, {_D} AS distance FROM bits a, bits b WHERE a.vec_id <> b.vec_id),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(ham), vec_id) AS r FROM h) WHERE r <= 40), {top_sql("best", "c", 5, "distance, vec_id")}
-SELECT qid, vec_id, distance, rank FROM best""")
+SELECT qid, vec_id, round(distance, 4) AS distance, rank FROM best""")
 def knn_coarse_rescore(spark, sf_dir):
     """40 by sign bits, then five by distance."""
     e = table(spark, sf_dir, "embeddings")
@@ -121,7 +119,7 @@ def knn_coarse_rescore(spark, sf_dir):
 
 
 @query(f"""WITH pairs AS (SELECT a.vec_id AS qid, b.vec_id, b.label::VARCHAR AS grp, {_D} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
-SELECT qid, vec_id, distance, grp, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, grp ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 2""")
+SELECT qid, vec_id, round(distance, 4) AS distance, grp, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, grp ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 2""")
 def knn_per_partition(spark, sf_dir):
     """Two of each label."""
     e = table(spark, sf_dir, "embeddings")
@@ -129,7 +127,7 @@ def knn_per_partition(spark, sf_dir):
 
 
 @query(f"""WITH {_KNN.format(d=_D)}, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS r FROM pairs) WHERE r <= 20),
-c AS (SELECT qid, vec_id // 2 AS chunk_id, 'src' || (vec_id % 20) AS source, min(distance) AS distance FROM m GROUP BY ALL),
+c AS (SELECT qid, vec_id // 2 AS chunk_id, 'src' || (vec_id % 20) AS source, min(round(distance, 4)) AS distance FROM m GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id, source) AS r FROM c) WHERE r <= 10)
 SELECT qid, source, round(sum(1 / greatest(distance, 1e-12)), 4) AS score, count(*) AS chunks FROM k GROUP BY qid, source""")
 def knn_resolve_inverse_distance(spark, sf_dir):
@@ -142,7 +140,7 @@ def knn_resolve_inverse_distance(spark, sf_dir):
     return cut.groupBy("qid", "source").agg(F.round(F.sum(1 / F.greatest("distance", F.lit(1e-12))), 4).alias("score"), F.count("*").alias("chunks"))
 
 
-@query(f"""WITH pairs AS (SELECT a.vec_id AS qid, b.vec_id, {_D} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND b.label IN (1, 3, 5)), {top_sql("best", "pairs", 5, "distance, vec_id")} SELECT qid, vec_id, distance, rank FROM best""")
+@query(f"""WITH pairs AS (SELECT a.vec_id AS qid, b.vec_id, {_D} AS distance FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND b.label IN (1, 3, 5)), {top_sql("best", "pairs", 5, "distance, vec_id")} SELECT qid, vec_id, round(distance, 4) AS distance, rank FROM best""")
 def knn_prefiltered(spark, sf_dir):
     """The filter comes before the distance."""
     e = table(spark, sf_dir, "embeddings")
@@ -187,7 +185,7 @@ near AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, {_D} AS distance FROM embed
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lex = lexical.top(_scored(spark, sf_dir), fusion.leg_limit(10), "doc_id").select("qid", "doc_id", "rank")
+    lex = _best(spark, sf_dir, fusion.leg_limit(10)).select("qid", "doc_id", "rank")
     e = table(spark, sf_dir, "embeddings")
     asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     return lex, vector.knn(asked, e, fusion.leg_limit(10)).select("qid", F.col("vec_id").alias("doc_id"), "rank")
@@ -216,9 +214,10 @@ _HITS = f"""{bm25_sql("sections", key="section_id", text="content")}, {top_sql("
 
 
 def _section_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best sections of each passage, written out: what follows reads them several times."""
     s = sections(documents(spark, sf_dir))
-    scored = lexical.bm25(s.select("section_id", F.col("content").alias("text")), table(spark, sf_dir, "benchmark"), "item_id", "section_id")
-    return lexical.top(scored, 100, "section_id").join(s, "section_id")
+    hits = lexical.best(s, table(spark, sf_dir, "benchmark"), "item_id", 100, "section_id", text="content")
+    return saved_table(hits.join(s, "section_id"), "section-hits")
 
 
 @query(f"""WITH {DOCS}, {SECTIONS}, {_HITS}, h AS (SELECT qid, source, section_id, branch, score FROM hits JOIN sections USING (section_id)),
@@ -237,8 +236,8 @@ SELECT qid, grp, rank, doc_id AS section_id, row_number() OVER (PARTITION BY qid
 def fuse_groups_dedup(spark, sf_dir):
     """Two searches' results, each section once."""
     docs = documents(spark, sf_dir)
-    a = lexical.top(_scored(spark, sf_dir, docs), 20, "doc_id").withColumn("grp", F.lit(0))
-    b = lexical.top(_scored(spark, sf_dir, docs.where("lang = 'en'")), 20, "doc_id").withColumn("grp", F.lit(1))
+    a = _best(spark, sf_dir, 20, docs).withColumn("grp", F.lit(0))
+    b = _best(spark, sf_dir, 20, docs.where("lang = 'en'")).withColumn("grp", F.lit(1))
     hits = a.unionByName(b).select("qid", "grp", "rank", F.col("doc_id").cast("string").alias("source"), F.col("doc_id").alias("section_id"))
     return fusion.fuse_groups(hits).select("qid", "grp", "rank", F.explode("sections").alias("section_id"), "position")
 
@@ -247,7 +246,7 @@ _JUDGED = f"WITH {DOCS}, {bm25_sql()}, {top_sql('r', 'scored', 20, _BY)}, good A
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    results = lexical.top(_scored(spark, sf_dir), 20, "doc_id").select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
+    results = _best(spark, sf_dir, 20).select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("section_id"))
     return results, results.select("qid", "section_id").join(good, "section_id", "left_semi")
 
@@ -271,7 +270,7 @@ SELECT qid, doc_id, rank, new_rank, CASE WHEN rank <= 20 THEN round(1.0::DOUBLE
 def rerank_window_tail(spark, sf_dir):
     """The first twenty reordered, by length in a model's place; the tail stays."""
     docs = documents(spark, sf_dir)
-    r = lexical.top(_scored(spark, sf_dir, docs), 40, "doc_id").select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
+    r = _best(spark, sf_dir, 40, docs).select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
     order = r.join(docs.select(F.col("doc_id").alias("section_id"), F.col("n_chars").alias("section_rank")), "section_id").select("qid", "section_id", "section_rank")
     return fusion.apply_ranking(r, order, fusion.head(5)).select("qid", F.col("source").alias("doc_id"), "rank", "new_rank", "score")
 
@@ -280,7 +279,7 @@ def rerank_window_tail(spark, sf_dir):
 SELECT qid, doc_id, rank, m > anchor + 10 AS has_more FROM r JOIN a USING (qid) JOIN l USING (qid) WHERE rank > anchor AND rank <= anchor + 10""")
 def paginate_after_anchor(spark, sf_dir):
     """Ten after the seventh."""
-    r = lexical.top(_scored(spark, sf_dir), 30, "doc_id").select("qid", F.col("doc_id").alias("source"), "rank")
+    r = _best(spark, sf_dir, 30).select("qid", F.col("doc_id").alias("source"), "rank")
     anchors = r.where("rank = 7").select("qid", F.col("source").alias("anchor"))
     return paging.after(r, anchors, 10).select("qid", F.col("source").alias("doc_id"), "rank", "has_more")
 
@@ -311,7 +310,7 @@ feat AS (SELECT pool.qid, pool.section_id, prior, round(coalesce(bm25, 0), 6) AS
 
 def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir)
-    best = lexical.top(_scored(spark, sf_dir, docs), 20, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    best = _best(spark, sf_dir, 20, docs).join(docs.select("doc_id", "text"), "doc_id")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return best.select("qid", F.col("doc_id").alias("section_id"), F.col("score").alias("prior"), F.col("text").alias("content")), asked
 
@@ -354,7 +353,7 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = lexical.top(_scored(spark, sf_dir), 10, "doc_id").select("qid", F.col("doc_id").alias("source"), "rank")
+    run = _best(spark, sf_dir, 10).select("qid", F.col("doc_id").alias("source"), "rank")
     return evaluate.per_query(run, _qrels(spark, sf_dir))
 
 
@@ -397,16 +396,17 @@ SELECT qid, doc_id, score, rank FROM best""")
 def filtered_search(spark, sf_dir):
     """The filter below the ranking; scores are those of the whole corpus."""
     ok = with_metadata(spark, sf_dir).where(filters.compile_filter([filters.Condition("lang", "eq", "en"), filters.Condition("quality", "gte", 1)])).select("doc_id")
-    return lexical.top(_scored(spark, sf_dir).join(ok, "doc_id", "left_semi"), 5, "doc_id").select("qid", "doc_id", "score", "rank")
+    return _best(spark, sf_dir, 5, only=ok).select("qid", "doc_id", "score", "rank")
 
 
-@query(f"""WITH {META}, ok AS (SELECT * FROM meta WHERE lang = 'en' AND quality >= 1), {bm25_sql()}, {top_sql("w", "scored", 100, _BY)}, f AS (SELECT qid, doc_id, score FROM w WHERE doc_id IN (SELECT doc_id FROM ok)), {top_sql("best", "f", 5, _BY)}
+@query(f"""WITH {META}, ok AS (SELECT * FROM meta WHERE lang = 'en' AND quality >= 1), {bm25_sql()}, {top_sql("w", "scored", 500, _BY)}, f AS (SELECT qid, doc_id, score FROM w WHERE doc_id IN (SELECT doc_id FROM ok)), {top_sql("best", "f", 5, _BY)}
 SELECT qid, doc_id, score, rank FROM best""")
 def search_postfilter(spark, sf_dir):
-    """The filter on a window of a hundred, each document judged once."""
-    seen = lexical.top(_scored(spark, sf_dir), 100, "doc_id").drop("rank")
-    judged = with_metadata(spark, sf_dir).join(seen.select("doc_id").distinct(), "doc_id", "left_semi").where(filters.compile_filter([filters.Condition("lang", "eq", "en"), filters.Condition("quality", "gte", 1)])).select("doc_id")
-    return lexical.top(seen.join(judged, "doc_id", "left_semi"), 5, "doc_id").select("qid", "doc_id", "score", "rank")
+    """The filter after the ranking, on windows that grow for the queries still short; each document judged once."""
+    conditions = [filters.Condition("lang", "eq", "en"), filters.Condition("quality", "gte", 1)]
+    meta = with_metadata(spark, sf_dir)
+    judge = lambda keys: meta.join(keys, "doc_id", "left_semi").where(filters.compile_filter(conditions))
+    return fusion.postfiltered(saved_table(_best(spark, sf_dir, fusion.MOST), "ranked"), judge, 5, "doc_id").select("qid", "doc_id", "score", "rank")
 
 
 @query(f"WITH {DOCS}, {bm25_sql()} SELECT DISTINCT qid, 0::BIGINT AS differing FROM scored")
@@ -437,7 +437,7 @@ def render_budget(spark, sf_dir):
 SELECT qid, rank, doc_id, greatest(0, least(one, 8000 - prev))::INTEGER AS taken FROM o""")
 def prompt_word_budget(spark, sf_dir):
     """G5"""
-    r = lexical.top(_scored(spark, sf_dir), 100, "doc_id").select("qid", F.col("rank").alias("place"), F.col("doc_id").alias("section_id"), F.col("len").alias("words"))
+    r = _best(spark, sf_dir, 100).select("qid", F.col("rank").alias("place"), F.col("doc_id").alias("section_id"), F.col("len").alias("words"))
     return render.prompt_words(r).select("qid", F.col("place").alias("rank"), F.col("section_id").alias("doc_id"), "taken")
 
 
@@ -455,7 +455,7 @@ def iterative_search(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("section_id"))
 
     def search(q):
-        return lexical.top(lexical.bm25(docs, q.withColumnRenamed("query", "text"), "qid"), 10, "doc_id").select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
+        return lexical.best(docs, q.withColumnRenamed("query", "text"), "qid", 10).select("qid", "rank", F.col("doc_id").alias("source"), F.col("doc_id").alias("section_id"))
 
     def judge(hits):
         relevant = hits.join(good, "section_id", "left_semi").select("qid", "section_id")

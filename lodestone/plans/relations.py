@@ -119,17 +119,8 @@ def replace_by_source(spark, sf_dir):
     return store.replaced(stored, listing)
 
 
-@query(f"WITH {DOCS}, {SECTIONS}, t AS (SELECT section_id, unnest({tok('content')}) AS term FROM sections WHERE level < 2) SELECT term, count(DISTINCT section_id) AS sections, count(*) AS occurrences FROM t GROUP BY term")
-def postings_summary(spark, sf_dir):
-    """The inverted index of documents and lines, by term."""
-    from lodestone.operators.lexical import postings
-
-    s = sections(documents(spark, sf_dir)).where("level < 2").select("section_id", F.col("content").alias("text"))
-    return postings(s, "section_id").groupBy("term").agg(F.count("*").alias("sections"), F.sum("tf").alias("occurrences"))
-
-
 @query(f"WITH {DOCS}, {SECTIONS}, t AS (SELECT section_id, unnest({tok('content')}) AS term FROM sections) SELECT term, count(DISTINCT section_id) AS sections, count(*) AS occurrences FROM t GROUP BY term")
-def postings_all_sections(spark, sf_dir):
+def postings_summary(spark, sf_dir):
     """The inverted index of all sections, sentences too, by term."""
     from lodestone.operators.lexical import postings
 
@@ -324,10 +315,10 @@ def seed_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.seed(F.col("text")).alias("seed"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def blob_references(spark, sf_dir):
     """References found in texts that name their own blob."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.concat("text", F.lit(" ![](blob://"), F.sha2("text", 256), F.lit(")")).alias("content"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ![](blob://"), F.sha2("text", 256), F.lit(")")).alias("content"))
     return store.blob_references(d)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Parts of a snapshot by name; others are skipped on restoring.
-PARTS = ("store-v1", "index-v1", "blobs-v1")
+PARTS = ("store-v1", "index-v1", "collections-v1", "blobs-v1")
 
 
 def documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -97,20 +98,51 @@ def restore(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names if n in PARTS}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as `documents` writes the sources below it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def publish(spark: SparkSession, legs: dict[str, Callable[[str], None]], folder: str) -> None:
-    """All or nothing: each leg writes to a staging folder; they get their names once all succeeded."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = lambda p: jvm.Path(p)
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    staging = f"{folder}/_staging"
-    fs.delete(path(staging), True)
+    """All or nothing: each leg writes to a folder of this version; once all succeeded, one rename of the manifest makes it the current one.
+
+    Readers take paths from `published`, so they see either version whole.  The
+    version before stays for those who still read it; older ones are deleted.
+    """
+    jvm = spark._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = path(folder).getFileSystem(conf)
+    version = f"version-{uuid.uuid4().hex}"
+    before = _manifest(spark, folder)
     try:
         for name, write in legs.items():
-            write(f"{staging}/{name}")
-        for name in legs:
-            fs.delete(path(f"{folder}/{name}"), True)
-            fs.mkdirs(path(folder))
-            if not fs.rename(path(f"{staging}/{name}"), path(f"{folder}/{name}")):
-                raise OSError(f"{name} couldn't be published")
-    finally:
-        fs.delete(path(staging), True)
+            write(f"{folder}/{version}/{name}")
+        stream = fs.create(path(f"{folder}/{version}/manifest.json"))
+        stream.write(bytearray(json.dumps({"version": version, "before": before.get("version"), "legs": sorted(legs)}).encode()))
+        stream.close()
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        at = fs.makeQualified(path(f"{folder}/manifest.json"))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(path(f"{folder}/{version}/manifest.json"), at, over)
+    except BaseException:
+        fs.delete(path(f"{folder}/{version}"), True)
+        raise
+    for found in fs.listStatus(path(folder)):
+        name = found.getPath().getName()
+        if name.startswith("version-") and name not in (version, before.get("version")):
+            fs.delete(found.getPath(), True)
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
+
+
+def published(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where each leg of the current version is; empty before the first."""
+    found = _manifest(spark, folder)
+    return {name: f"{folder}/{found['version']}/{name}" for name in found.get("legs", [])}

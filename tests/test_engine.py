@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lodestone import shared
 from lodestone.facade import PROFILES, Config, Engine
 from lodestone.functions import text as T
 from lodestone.operators import evaluate, filters, fusion, lexical, orchestrate, paging, parse, rerank, store, vector
@@ -96,6 +97,75 @@ def test_knn_blocks_and_ties(spark, monkeypatch):
             assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in want]
 
 
+def test_knn_orders_by_full_distance(spark):
+    q = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    v = spark.createDataFrame([(2, [0.50004, 0.0]), (3, [0.50001, 0.0]), (4, [0.7, 0.0]), (5, [None, 1.0]), (6, None)], q.schema)
+    assert [(r["vec_id"], r["distance"]) for r in vector.knn(q, v, 2).orderBy("rank").collect()] == [(3, 0.5), (2, 0.5)]
+    assert [r["vec_id"] for r in vector.coarse(q, v.where("vec_id < 5"), 2).orderBy("rank").collect()] == [3, 2]
+    r = np.random.default_rng(4)
+    rows = [(k, (np.ones(16) * 1e4 + r.normal(0, 1e-3, 16)).tolist()) for k in range(60)]
+    far = spark.createDataFrame(rows, q.schema)
+    x = np.array([v for _, v in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {(x["qid"], x["rank"]): x["vec_id"] for x in vector.knn(far, far, 3).collect()}
+    assert got == {(i, n + 1): int(j) for i in range(60) for n, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+
+
+@pytest.mark.parametrize("meetings", [50, 1 << 22])
+def test_best_equals_bm25(spark, sf_dir, monkeypatch, meetings):
+    monkeypatch.setattr(lexical, "MEETINGS", meetings)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "...")], "doc_id long, text string"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, None), (-2, "zzzzqqq")], "item_id long, text string"))
+    only = docs.where("doc_id % 3 = 0").select("doc_id")
+    plain = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "len", "terms", "score", "rank").collect()))
+    scored = lexical.bm25(docs, asked, "item_id")
+    want, few = plain(lexical.top(scored, 7, "doc_id")), plain(lexical.top(scored.join(only, "doc_id", "left_semi"), 7, "doc_id"))
+    assert plain(lexical.best(docs, asked, "item_id", 7)) == want and len(want) > 50
+    assert plain(lexical.best(docs, asked, "item_id", 7, only=only)) == few
+    assert lexical.best(docs, asked.where("item_id < 0"), "item_id", 7).count() == lexical.best(docs.limit(0), asked, "item_id", 7).count() == 0
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 3)
+    assert plain(lexical.best(docs, asked, "item_id", 7, only=only)) == few
+
+
+def test_analyzers(spark):
+    en = lexical.analyzed(lambda w: F.regexp_replace(w, "(ing|s)$", ""))
+    de = lexical.analyzed(lambda w: F.regexp_replace(w, "en$", ""), keep=False)
+    rows = spark.createDataFrame([("the cats and the dog s",), ("die Katzen und der Hund",), ("zzz",)], "t string")
+    got = rows.select(en(F.col("t")).alias("en"), lexical.by_language({"en": en, "de": de})(F.col("t")).alias("own"), lexical.by_languages({"en": en, "de": de})(F.col("t")).alias("all")).collect()
+    assert got[0]["en"] == ["the", "cats", "and", "the", "dog", "s", "cat"] == got[0]["own"]
+    assert got[1]["own"] == ["die", "katz", "und", "der", "hund"] and got[2]["own"] == ["zzz"]
+    assert {"katzen", "de:katz", "en:katzen"} <= set(got[1]["all"])
+    docs = spark.createDataFrame([(1, "cats purring"), (2, "a cat"), (3, "dogs")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "cat"), (2, "purr")], "q long, text string")
+    found = lambda **k: {(r["qid"], r["doc_id"]) for r in lexical.best(docs, asked, "q", 5, **k).collect()}
+    assert found() == {(1, 2)} and found(analyzer=en) == {(1, 1), (1, 2), (2, 1)}
+
+
+def test_hyde_and_translations(spark):
+    q = spark.createDataFrame([(1, "cats"), (2, "dogs"), (3, "owls")], "qid long, text string")
+    made = orchestrate.hypothetical(q, lambda d: d.where("qid < 3").withColumn("text", F.when(F.col("qid") == 1, "they purr").otherwise(" ")))
+    assert {r["qid"]: r["text"] for r in made.collect()} == {1: "cats\nthey purr", 2: "dogs", 3: "owls"}
+    targets = spark.createDataFrame([("fr", 3), ("de", 2)], "lang string, n long")
+    words = {("cats", "fr"): "chats", ("cats", "de"): "Katzen", ("dogs", "fr"): "dogs", ("dogs", "de"): "Hunde"}
+    table = spark.createDataFrame([(*k, v) for k, v in words.items()], "text string, lang string, other string")
+    wide = orchestrate.widened(q, targets, lambda d: d.join(table, ["text", "lang"]).select("qid", "lang", F.col("other").alias("text")))
+    assert {r["qid"]: r["text"] for r in wide.collect()} == {1: "cats\nKatzen\nchats", 2: "dogs\nHunde", 3: "owls"}
+
+
+def test_lazy_failures_of_the_judge(spark):
+    hits = spark.createDataFrame([(1, 1, "a", "x")], "qid int, rank int, source string, section_id string")
+    broken = lambda h: (h.select("qid", F.raise_error(F.lit("model")).cast("string").alias("section_id")), h.select("qid", F.lit("valid").alias("status"), F.lit(1.0).alias("score")))
+    asked = spark.createDataFrame([(1, "q"), (2, "r")], "qid int, query string")
+    with pytest.warns(UserWarning, match="without a verdict"):
+        assert orchestrate.Iterative(lambda q: hits, broken).run(asked).count() == 1
+    good = lambda h: (h.select("qid", "section_id"), h.select("qid", F.lit("VALID").alias("status"), F.lit(2.0).alias("score")))
+    assert {tuple(r) for r in orchestrate.grounded(asked, hits, good).collect()} == {(1, "valid", 1.0), (2, "invalid", 0.0)}
+    lazy = lambda h: (h, h.select("qid", F.raise_error(F.lit("model")).cast("string").alias("status"), F.lit(1.0).alias("score")))
+    with pytest.warns(UserWarning, match="no verdict"):
+        assert {tuple(r) for r in orchestrate.grounded(asked, hits, lazy).collect()} == {(1, "partial", 0.5), (2, "invalid", 0.0)}
+
+
 def test_embedding_batches():
     assert vector.embedding_batches([3] * 250) == [list(range(100)), list(range(100, 200)), list(range(200, 250))]
     assert vector.embedding_batches([9000, 9000, 30, 60_000, 1]) == [[0, 1], [2], [3], [4]]
@@ -211,16 +281,52 @@ def test_loaders(spark, tmp_path):
 
 
 def test_publish_is_all_or_nothing(spark, tmp_path):
-    df = spark.range(3)
-    files.publish(spark, {"a": df.write.parquet, "b": df.write.parquet}, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/b")).count() == 3
+    df, folder = spark.range(3), str(tmp_path / "i")
+    assert files.published(spark, folder) == {}
+    files.publish(spark, {"a": df.write.parquet, "b": df.write.parquet}, folder)
+    read = lambda name: spark.read.parquet(files.published(spark, folder)[name]).count()
+    assert read("b") == 3
 
     def fail(_):
         raise RuntimeError
 
     with pytest.raises(RuntimeError):
-        files.publish(spark, {"a": spark.range(5).write.parquet, "b": fail}, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/a")).count() == 3
+        files.publish(spark, {"a": spark.range(5).write.parquet, "b": fail}, folder)
+    assert (read("a"), read("b")) == (3, 3) and len(list((tmp_path / "i").glob("version-*"))) == 1
+    for n in (5, 6, 7):
+        files.publish(spark, {"a": spark.range(n).write.parquet, "b": spark.range(n).write.parquet}, folder)
+        assert (read("a"), read("b")) == (n, n)
+    assert len(list((tmp_path / "i").glob("version-*"))) == 2
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Context:
+        applicationId = "app"
+
+        def __init__(self, master, at=None):
+            self.master, self.at = master, at
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.at
+
+    class Session:
+        conf = {}
+
+        def __init__(self, *how):
+            self.sparkContext = Context(*how)
+
+    monkeypatch.setattr(shared, "_OWN", {})
+    assert shared.folder(Session("spark://x", "hdfs://n/c/")) == "hdfs://n/c"
+    for master in ("spark://x", "yarn", "local-cluster[2,1,1024]", "k8s://y"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.folder(Session(master))
+    assert shared.folder(Session("local[4]")).startswith("file:///")
+    own = Session("yarn", "hdfs://other")
+    own.conf = {"spark.checkpoint.dir": "s3://named/"}
+    assert shared.folder(own) == "s3://named"
 
 
 def test_streaming_sync(spark, tmp_path):
@@ -285,6 +391,76 @@ def test_facade(spark, tmp_path):
     assert e.documents.count() == 3 and e.sections_by_id("1#0").count() == 1
 
 
+def test_facade_dates_in_metadata(spark):
+    """As users write them: through the engine, and on tables that weren't canonical before."""
+    said = ["2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", "2023-12-31T23:59:59.999999999Z", "2024-06-01t00:00:00.5z", "not a date", "2024-13-01T00:00:00Z"]
+    rows = [(str(k), f"{k}.md", "1", "cats", "en", json.dumps({"d": d})) for k, d in enumerate(said)] + [("9", "9.md", "1", "cats", "en", "no json")]
+    e = Engine(spark)
+    e.index(spark.createDataFrame(rows, Engine.COLUMNS))
+    raw = spark.createDataFrame(rows, Engine.COLUMNS).withColumn("meta", F.expr("try_parse_json(metadata)"))
+    for op in ("eq", "ne", "gt", "gte", "lt", "lte"):
+        for value in ("2024-01-01T00:00:00Z", "2024-01-01T02:00:00+02:00", "2023-12-31T23:59:59.9Z", "not a date"):
+            c = [filters.Condition("d", op, value)]
+            want = {f"{k}.md" for k, d in enumerate(said) if filters.matches(c, {"d": d})}
+            assert {r["source"] for r in raw.where(filters.compile_filter(c, "meta")).collect()} == want, (op, value)
+    c = [filters.Condition("d", "eq", said[0])]
+    assert {r["source"] for r in e.search("cats", 9, conditions=c).collect()} == {"0.md", "1.md"}
+    assert e.documents.where("doc_id = '1'").first()["metadata"] == '{"d": "2024-01-01T00:00:00.000000000Z"}'
+    assert e.documents.where("doc_id = '9'").first()["metadata"] == "no json"
+
+
+def test_facade_flush_backup_and_files(spark, tmp_path):
+    for name, text in (("a.md", "# Cats\ncats purr"), ("b.md", "---\nowner: me\n---\ndogs bark"), ("skip.txt", "cats")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    embed = lambda d: d.select("id", F.array(F.col("text").contains("cats").cast("double"), F.col("text").contains("dogs").cast("double"), F.lit(0.1)).alias("embedding"))
+    e = Engine(spark, Config(page=3), embed)
+    actions = lambda **k: {r["source"].rsplit("/", 1)[-1]: r["action"] for r in e.index_files(str(tmp_path / "in"), **k).collect()}
+    assert actions(ignore={"": ["*.txt"]}, collections=["pets"]) == {"a.md": "index", "b.md": "index"}
+    e.create_collection("pets", "Pets")
+    e.put_blobs(spark.createDataFrame([("a", bytearray(b"x"))], "mime string, data binary"))
+    assert json.loads(e.documents.where("source like '%b.md'").first()["metadata"])["owner"] == "me"
+    e.flush(str(tmp_path / "store"))
+    names = lambda df: [r["source"].rsplit("/", 1)[-1] for r in df.orderBy("rank").collect()]
+    other = Engine.opened(spark, str(tmp_path / "store"), embed=embed)
+    assert names(other.search("cats"))[0] == "a.md" and names(other.search("dogs"))[0] == "b.md" and other.collections.count() == 1
+    assert "MapInArrow" not in other.sections._jdf.queryExecution().toString()
+    e.backup(str(tmp_path / "backup"))
+    third = Engine(spark)
+    third.restore(str(tmp_path / "backup"))
+    assert (third.documents.count(), third.bridge.count(), third.collections.count(), third.blobs.count()) == (2, 2, 1, 1)
+    (tmp_path / "in" / "a.md").write_text("owls hoot at night")
+    (tmp_path / "in" / "b.md").unlink()
+    assert actions(ignore={"": ["*.txt"]}) == {"a.md": "index", "b.md": "delete"}
+    assert e.documents.count() == 1 and names(e.search("owls")) == ["a.md"]
+    e.reindex(str(tmp_path / "store"), Config(max_words=2, page=3))
+    assert files.published(spark, str(tmp_path / "store")).keys() >= {"vectors-v1", "sections-v1"}
+    e.cleanup()
+    assert e.blobs.count() == 0
+
+
+def test_facade_windows_parts_and_prompt(spark):
+    docs = [(str(k), f"d{k:03}", "1", "cats " * (k + 1), "fr" if k % 10 == 0 else "en", None) for k in range(100)]
+    e = Engine(spark, Config(page=3, total_words=5, rerank=False))
+    e.index(spark.createDataFrame(docs, Engine.COLUMNS))
+    judged = []
+
+    def french(d):
+        judged.append(d.count())
+        return d.where("lang = 'fr'")
+
+    assert [r["source"] for r in e.search_where("cats", french, 3).orderBy("rank").collect()] == ["d090", "d080", "d070"]
+    assert len(judged) >= 2 and sum(judged) <= 100
+    assert e.search_where("cats", lambda d: d.where("false"), 3).count() == 0
+    hits = e.search_parts("cats", ["dogs", "cats", "CATS"], 2)
+    assert {r["position"] for r in hits.collect()} == {1, 2}
+    asked = spark.createDataFrame([("q", "cats")], "qid string, text string")
+    assert sum(r["taken"] for r in e.prompt(e.candidates(asked, 3)).collect()) == 5
+    shout = Config(transformers={"lexical": lambda q: q.withColumn("text", F.lit("cats"))}, rerank=False)
+    e.config = shout
+    assert e.search("nothing", 2).count() == 2
+
+
 def test_blob_limit_and_encryption(spark):
     empty = spark.createDataFrame([], "hash string, mime string, size long, data binary")
     data = spark.createDataFrame([("a", bytearray(b"x")), ("a", bytearray(b"x")), ("b", bytearray(b"yy"))], "mime string, data binary")
@@ -315,12 +491,12 @@ def test_language_of_most_text(spark):
 def test_postings_have_sentences(spark, tmp_path):
     text = "One two. Two three.\nThree."
     spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["term"]: (r["sections"], r["occurrences"]) for r in relations.postings_all_sections(spark, str(tmp_path)).collect()}
+    got = {r["term"]: (r["sections"], r["occurrences"]) for r in relations.postings_summary(spark, str(tmp_path)).collect()}
     assert got == {"one": (3, 3), "two": (4, 6), "three": (5, 6)}
 
 
 def test_search_config_of_each_language(spark):
-    """The codes and names of index/postgres/lang.go of the reference, written out."""
+    """All codes and names, written out."""
     want = dict(x.split(":") for x in "ar:arabic da:danish nl:dutch en:english fi:finnish fr:french de:german el:greek hu:hungarian id:indonesian it:italian ga:irish lt:lithuanian ne:nepali nb:norwegian no:norwegian pt:portuguese ro:romanian ru:russian es:spanish sv:swedish ta:tamil tr:turkish".split())
     rows = spark.createDataFrame([(c,) for c in [*want, "xx", "", None]], "lang string").select("lang", T.search_config(F.col("lang")).alias("config")).collect()
     assert len(want) == 23 and {r["lang"]: r["config"] for r in rows} == want | {"xx": "simple", "": "simple", None: "simple"}

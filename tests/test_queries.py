@@ -59,5 +59,7 @@ def test_entry(spark):
 def test_nothing_else_imports_llm():
     for p in (ROOT / "lodestone").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "lodestone").parts:
-            names = [n.module or "" for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, ast.ImportFrom)]
-            assert not any(".llm" in n for n in names), p
+            nodes = list(ast.walk(ast.parse(p.read_text())))
+            names = [f"{n.module or ''}.{a.name}" for n in nodes if isinstance(n, ast.ImportFrom) for a in n.names]
+            names += [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names]
+            assert not any("llm" in n.split(".") or "corpus_pipeline" in n for n in names), p
