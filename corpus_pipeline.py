@@ -9,7 +9,11 @@ from lodestone.llm import common, decontaminate, jaccard, mixing, rules, shardin
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule learned from the table labels rejects."""
+    """Documents that no rule learned from the table labels rejects.
+
+    Null and empty texts are judged like others, by features of 0; rows that
+    repeat are judged alike; without usable labels, or rows, nothing goes.
+    """
     return rules.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -34,13 +38,21 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for; no source loses words, so none is dropped."""
+    """Each document as often as its source's weight asks for; no source loses words, so none is dropped.
+
+    Rows without words stay once; a null source is a source of its own; rows
+    that repeat are copied alike; an empty table stays empty.
+    """
     return mixing.mixed(docs, temperature=0.7)
 
 
 def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the column `shard`: 16 shards of even size that keep linked documents together."""
-    return sharding.sharded(docs, shards=16, rounds=5, slack=0.02)
+    """The documents with the column `shard`: 16 shards of even size that keep linked documents together.
+
+    Rows of one doc_id go to one shard; those without one are spread by chance;
+    null and empty texts have no links; an empty table stays empty.
+    """
+    return sharding.sharded(docs, shards=16, slack=0.02)
 
 
 STAGES = [("quality_rules", _quality), ("near_duplicates", _jaccard), ("decontamination", _decontaminate), ("mixing", _mix), ("sharding", _shard)]
@@ -50,8 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and deleted once the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.dropped(before)
     return docs
