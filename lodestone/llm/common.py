@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.shared import folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+from lodestone.shared import deleted, new_path
 
 
 def saved(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
@@ -30,9 +24,7 @@ def dropped(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_saved_at", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            deleted(path)
 
 
 def repeated_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame | None:

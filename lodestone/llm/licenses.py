@@ -8,16 +8,19 @@ Templates are license wordings with regions marked
 Each compiles into an automaton over words.  A text has a license where some
 run of its words takes the automaton from start to end: all wording outside the
 marked regions must be there, word for word.  Case, punctuation between words
-and white space don't matter.
+and white space don't matter.  A run that a word of DENIED precedes ("not
+released under ...") doesn't count.
 
-Spark lets through only texts with a word that a template can't do without,
-which loses nothing; the automata then read those texts to the end.
+Spark lets through only texts that hold the words, up to three, which a template
+can't do without, which loses nothing; the automata then read those texts to the end.
 """
 
 from __future__ import annotations
 
+import pathlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,19 +31,10 @@ WORD = re.compile(r"[^\W_]+(?:[.'’+-][^\W_]+)*")
 _TAG = re.compile(r"<<(beginOptional|endOptional|var)([^>]*(?:>(?!>)[^>]*)*)>>")
 _PART = re.compile(r';\s*(\w+)\s*=\s*"([^"]*)"')
 
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0": 'Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0 <<beginOptional>>(the "License")<<endOptional>>',
-    "CC": '<<var;name="verb";original="Licensed";match="licensed|released|shared">> under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC <<var;name="terms";original="BY";match="by(-nc)?(-(sa|nd))?">> <<var;name="version";original="4.0";match="[1-4]\\.[05]">>',
-    "GPL": '<<beginOptional>>This <<var;name="what";original="program";match="work|program|software|file|library">> is<<endOptional>> <<var;name="verb";original="licensed";match="licensed|released|distributed">> under <<beginOptional>>the terms of<<endOptional>> the GNU General Public License, <<beginOptional>>either<<endOptional>> version <<var;name="version";original="3";match="[123](\\.0)?">> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>',
-    "MIT": '<<var;name="verb";original="Released";match="released|licensed|distributed">> under the <<beginOptional>>terms of the<<endOptional>> MIT License',
-    "MIT-text": """<<beginOptional>>Copyright <<beginOptional>>(c)<<endOptional>> <<var;name="holder";original="year and holder";match=".+";max="12">><<endOptional>>
-        Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="product";original="this software and associated documentation files";match=".+";max="9">>
-        <<beginOptional>>(the "Software"),<<endOptional>> to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
-        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.""",
-    "ISC-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies.""",
-}
+#: Markup by license: the files beside this module.  Names with -text or -notice are whole wordings, the others one-line notices.
+TEMPLATES: dict[str, str] = {p.stem: p.read_text() for p in sorted((pathlib.Path(__file__).parent / "license_templates").glob("*.txt"))}
+#: Words right before a wording that turn it into its opposite.
+DENIED = frozenset("not never no nor isn't wasn't aren't weren't isn’t wasn’t aren’t weren’t cannot can't".split())
 
 
 def _nodes(markup: str) -> list:
@@ -145,21 +139,41 @@ class Automaton:
         return best[0], found
 
 
+class Scanner:
+    """Several automata over one pass of a text's words."""
+
+    def __init__(self, automata: dict[str, Automaton]):
+        self.automata = automata
+        self.begins: dict[str, tuple[str, ...]] = {}
+
+    def _may(self, word: str) -> tuple[str, ...]:
+        """The licenses whose wording can begin with the word; remembered for a million words."""
+        found = self.begins.get(word)
+        if found is None:
+            if len(self.begins) >= 1_000_000:
+                self.begins.clear()
+            found = self.begins[word] = tuple(n for n, a in self.automata.items() if a.begins(word))
+        return found
+
+    def scan(self, text: str) -> list[tuple[str, int, int, dict[str, str]]]:
+        """(license, first character, end, variables) of all matches; a license's own matches don't overlap, the first and longest counts."""
+        spans = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        out, free = [], dict.fromkeys(self.automata, 0)
+        for at, word in enumerate(words):
+            for name in self._may(word):
+                if at < free[name] or at and words[at - 1] in DENIED:
+                    continue
+                hit = self.automata[name].run(words, at)
+                if hit and hit[0] > at:
+                    out.append((name, spans[at][0], spans[hit[0] - 1][1], hit[1]))
+                    free[name] = hit[0]
+        return sorted(out, key=lambda m: (m[0], m[1]))
+
+
 def scan(text: str, automata: dict[str, Automaton]) -> list[tuple[str, int, int, dict[str, str]]]:
-    """(license, first character, end, variables) of all matches; a license's own matches don't overlap, the first and longest counts."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in spans]
-    out = []
-    for name, auto in automata.items():
-        at = 0
-        while at < len(words):
-            hit = auto.run(words, at) if auto.begins(words[at]) else None
-            if hit and hit[0] > at:
-                out.append((name, spans[at][0], spans[hit[0] - 1][1], hit[1]))
-                at = hit[0]
-            else:
-                at += 1
-    return out
+    """All matches of one text, as `Scanner.scan` gives them."""
+    return Scanner(automata).scan(text)
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -176,17 +190,17 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     if not automata:
         return docs.sparkSession.createDataFrame([], schema)
     low = F.lower(F.col("text"))
-    plain = [next((w for w in a.needed if w.isascii()), None) for a in automata.values()]
+    plain = {tuple([w for w in a.needed if w.isascii()][:3]) for a in automata.values()}
     may = F.lit(False)
-    for w in sorted(set(x for x in plain if x)):
-        may |= low.contains(w)
+    for words in sorted(plain):
+        may |= reduce(lambda x, y: x & y, (low.contains(w) for w in words), F.lit(True))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if None not in plain:
-        rows = rows.where(may)
+    rows = rows.where(may)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(automata)
         for batch in batches:
-            got = [(i, *m) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for m in scan(t, automata)]
+            got = [(i, *m) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for m in scanner.scan(t)]
             i, lic, a, b, v = zip(*got) if got else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(lic, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array([list(x.items()) for x in v], pa.map_(pa.string(), pa.string()))], ["doc_id", "license", "start", "end", "variables"])
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, jaccard, langid, licenses, lm, mixing, rules, sharding, urlfilter, warc
-from lodestone.llm.common import new_path
+from lodestone.llm.common import saved
+from lodestone.shared import deleted, new_path
 
 ALLOW = ("tionble.example.org", "www.spam-farm.example.com/en", "blog.ththan.example.net", "example.com")
 BLOCK = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org", "example.net", "tionble.example.org/de", "ththti.example.com/fr", "m.ththth.example.net")
@@ -65,12 +66,13 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC and read again: the responses alone, chosen by record type and content type."""
-    warc.register(spark)
     path = new_path(spark, "warc")
-    page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    records = spark.read.format("warc").load(path).where("warc_type = 'response' AND content_type LIKE 'application/http%'")
+    warc.write(page_records(table(spark, sf_dir, "pages")), path)
+    records = warc.read(spark, path).where("warc_type = 'response' AND content_type LIKE 'application/http%'")
     page = F.regexp_extract("record_id", r"^<urn:page:response:(-?\d+)>$", 1).cast("bigint")
-    return records.select(page.alias("page_id"), F.col("target_uri").alias("url"), "http_status", F.length("payload").cast("bigint").alias("n_bytes"), F.md5("payload").alias("html_md5"))
+    out = saved(records.select(page.alias("page_id"), F.col("target_uri").alias("url"), "http_status", F.length("payload").cast("bigint").alias("n_bytes"), F.md5("payload").alias("html_md5")), "warc-pages")
+    deleted(path)
+    return out
 
 
 OP10_SQL = "SELECT page_id, url, CAST(200 AS INTEGER) AS http_status, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS html_md5 FROM pages"

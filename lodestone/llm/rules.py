@@ -140,7 +140,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max_co
     """An ordered list of rules for the rows marked `bad`; empty where one class is missing.
 
     Learning stops when the next rule's precision on its pruning rows is below
-    `min_precision` or it covers fewer than `min_cover` bad rows.
+    `min_precision` or it covers fewer than `min_cover` bad rows.  The model's
+    size is bounded by `max_conditions` a rule and `max_rules`, which keep the
+    list readable and the CASE expression short; thresholds are tried at CUTS
+    quantiles of the rows still covered.  These bound what is learned from the
+    sample, not which documents are judged.
     """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
@@ -178,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, **how) ->
     Labels with a null id or quality, or that contradict each other, are left
     out; without labels, or with one class alone, there are no rules.
     """
-    rows = labelled(docs, labels, sample_rows).orderBy("rule_doc_id", *FEATURES).toPandas()
+    rows = labelled(docs, labels, sample_rows).toPandas().sort_values(["rule_doc_id", *FEATURES], kind="stable")
     if rows.empty:
         return []
     return learn({k: rows[k].to_numpy(float) for k in FEATURES}, rows["bad"].to_numpy(bool), **how)
@@ -208,11 +212,17 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def decisions(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """(doc_id, keep, rule_no, rule) for every row of `docs`: the decision and the rule behind it."""
+    """(doc_id, keep, rule_no, rule) for every row of `docs`: the decision and the rule behind it.
+
+    Each row is judged by its own text: null and empty texts have all features
+    0, repeated rows are judged alike, a null doc_id is passed through.  Without
+    usable labels every row is kept.  An empty table gives no rows; extra
+    columns are ignored.
+    """
     return judged(docs.select("doc_id", "text"), fit(docs, labels, **how)).select("doc_id", F.col("rule_no").isNull().alias("keep"), "rule_no", "rule")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that no rule rejects, with their columns."""
+    """The rows of `docs` that no rule rejects, with their columns; awkward rows are judged as in `decisions`."""
     docs, back = aside(docs, "rule_no", "rule")
     return judged(docs, fit(docs, labels, **how)).where("rule_no is null").select(*(F.col(f"`{c}`") for c in docs.columns)).transform(back)

@@ -78,7 +78,8 @@ def filtered(pages: DataFrame, allow: Iterable[str], block: Iterable[str], broad
     that very host where the path begins with these whole segments.  Of all
     that match, the one with most steps decides; the same entry in both lists
     blocks.  action is allow, block or none.  Host case, a port, user names,
-    empty segments, query and fragment don't matter.
+    empty segments, query and fragment don't matter; percent signs aren't
+    decoded, and names in Unicode and their xn-- forms are different hosts.
 
     A null, empty or malformed URL has host '' (null for a null one) and action
     none.  Each row stands for itself, so null and repeated page_ids pass

@@ -4,16 +4,26 @@
     spark.read.format("warc").load(path).where("warc_type = 'response'")
 
 Planning lists the files, largest first, and packs them into partitions of about
-`partition_bytes`.  Predicates on the record's headers are taken over from
+`partition_bytes`.  The writer leaves an index beside each file of where records
+begin, one entry in INDEX_BYTES or so; a larger file that has one is split at
+its entries, others are read whole.  Predicates on the record's headers are taken over from
 Catalyst; a reader parses a record's header block first, and where a predicate
 fails the block after it isn't decoded: in plain files it is sought past, in
 compressed ones inflated to nowhere.  `option("payload", "false")` leaves all
-payloads out.  A record that ends early or has no length fails the read, unless
-`option("mode", "permissive")` ends that file there.
+payloads out.  A record or compressed member that ends early, or a record
+without a length, fails the read, unless `option("mode", "permissive")` ends
+that file there.
+
+What a header line can't carry (line breaks, white space at either end) is
+written once more, as base64, and a null payload is marked, so every row comes
+back as it was.  A path without a scheme is taken for a local one; `read` and
+`write` give it the scheme of Spark's default file system.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import uuid
 import zlib
@@ -22,7 +32,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -60,7 +70,11 @@ ARROW = pa.schema(
 #: Column of each header that has one.
 NAMED = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "warc_date": "warc-date", "content_type": "content-type"}
 HEADER_COLUMNS = (*NAMED, "content_length")
+#: Headers beside the named ones: the exact value in base64, and a payload that is null.
+EXACT, NO_PAYLOAD = "x-lodestone-exact-", "x-lodestone-null-payload"
 CHUNK = 1 << 16
+#: Bytes of a file between entries of its index.
+INDEX_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 SUFFIXES = (".warc", ".warc.gz")
 
@@ -71,19 +85,21 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Files(InputPartition):
-    files: list[tuple[str, int]]
+    """(path, size of the file, first byte, its place once inflated, place to stop at or None)"""
+
+    files: list[tuple[str, int, int, int, int | None]]
 
 
 class Source:
     """Bytes of a WARC file, inflated where it is compressed, read forward."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str, size: int):
+    def __init__(self, fs: pafs.FileSystem, path: str, size: int, first: int = 0, position: int = 0):
         self.raw = fs.open_input_file(path)
         self.packed = self.raw.read(2) == b"\x1f\x8b"
-        self.raw.seek(0)
-        self.size, self.buffer, self.position, self.start = size, b"", 0, 0
+        self.raw.seek(first)
+        self.size, self.buffer, self.position, self.start = size, b"", position, position
         self.inflate = zlib.decompressobj(31) if self.packed else None
-        self.used = 0
+        self.begun = False
 
     def _more(self) -> bool:
         if not self.packed:
@@ -96,20 +112,23 @@ class Source:
                 self.inflate = zlib.decompressobj(31)
             got = rest or self.raw.read(CHUNK)
             if not got:
+                if self.begun:
+                    raise EOFError("a compressed member ends early")
                 return False
             out = self.inflate.decompress(got)
+            self.begun = not self.inflate.eof
             if out:
                 self.buffer += out
                 return True
 
-    def header(self) -> bytes | None:
-        """The next header block; None at the end of the file."""
+    def header(self, stop: int | None = None) -> bytes | None:
+        """The next header block; None at the end of the file, or where a record begins at `stop` or beyond."""
         while True:
             blank = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
             self.buffer, self.position = self.buffer[blank:], self.position + blank
             if self.buffer or not self._more():
                 break
-        if not self.buffer:
+        if not self.buffer or stop is not None and self.position >= stop:
             return None
         self.start = self.position
         while (end := self.buffer.find(b"\r\n\r\n")) < 0:
@@ -227,18 +246,40 @@ class WarcReader(DataSourceReader):
             if not out or size + x.size > self.partition_bytes:
                 out.append(Files([]))
                 size = 0
-            out[-1].files.append((x.path, x.size))
+            marks = self._index(fs, x) if x.size > self.partition_bytes else []
+            if marks:
+                ends = [m[1] for m in marks[1:]] + [None]
+                out[-1:] = [Files([(x.path, x.size, first, place, end)]) for (first, place), end in zip(marks, ends)]
+                size = self.partition_bytes
+                continue
+            out[-1].files.append((x.path, x.size, 0, 0, None))
             size += x.size
         return out
 
+    def _index(self, fs: pafs.FileSystem, file: pafs.FileInfo) -> list[tuple[int, int]]:
+        """Where parts of about partition_bytes begin, in the file and inflated; empty without an index that fits the file."""
+        folder, name = os.path.split(file.path)
+        at = f"{folder}/_{name}.index"
+        if fs.get_file_info(at).type != pafs.FileType.File:
+            return []
+        with fs.open_input_stream(at) as f:
+            found = json.loads(f.read())
+        if found["size"] != file.size:
+            return []
+        marks: list[tuple[int, int]] = []
+        for first, place in found["marks"]:
+            if not marks or first - marks[-1][0] >= self.partition_bytes:
+                marks.append((first, place))
+        return marks
+
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         if not partition or not getattr(partition, "files", None):
             return
         fs, _ = _filesystem(self.path)
         rows: list[dict] = []
         held = 0
-        for path, size in partition.files:
-            for row in self._records(fs, path, size):
+        for part in partition.files:
+            for row in self._records(fs, *part):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 500
                 if held >= BATCH_BYTES:
@@ -247,18 +288,26 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    def _records(self, fs: pafs.FileSystem, path: str, size: int) -> Iterator[dict]:
-        source = Source(fs, path, size)
+    @staticmethod
+    def _exact(headers: dict[str, str], name: str) -> str | None:
+        whole = headers.pop(EXACT + name, None)
+        if whole is not None:
+            headers[name] = base64.b64decode(whole).decode("utf-8")
+        return headers.get(name)
+
+    def _records(self, fs: pafs.FileSystem, path: str, size: int, first: int = 0, place: int = 0, stop: int | None = None) -> Iterator[dict]:
+        source = Source(fs, path, size, first, place)
         try:
             while True:
                 try:
-                    block = source.header()
+                    block = source.header(stop)
                     if block is None:
                         return
                     version, headers = parse_headers(block)
                     if not version.startswith("WARC/"):
                         raise ValueError(f"{path}: no record at byte {source.start}")
-                    row = {c: headers.get(h) for c, h in NAMED.items()}
+                    row = {c: self._exact(headers, h) for c, h in NAMED.items()}
+                    nothing = headers.pop(NO_PAYLOAD, None)
                     row["content_length"] = n = int(headers["content-length"])
                     if n < 0:
                         raise ValueError(f"{path}: a negative length at byte {source.start}")
@@ -277,7 +326,7 @@ class WarcReader(DataSourceReader):
                             code = first.split(" ")[1:2]
                             row["http_status"] = int(code[0]) if first.startswith("HTTP/") and code and code[0].isdigit() else None
                             row["http_headers"] = list(fields.items())
-                        row["payload"] = body if self.payload else None
+                        row["payload"] = body if self.payload and nothing is None else None
                 except (ValueError, KeyError, EOFError, zlib.error) as e:
                     if self.permissive:
                         return
@@ -293,6 +342,10 @@ class Written(WriterCommitMessage):
     final: str
     records: int
 
+    def renamed(self) -> list[tuple[str, str]]:
+        index = lambda p: "{}/_{}.index".format(*os.path.split(p))
+        return [(index(self.temporary), index(self.final)), (self.temporary, self.final)]
+
 
 class WarcWriter(DataSourceArrowWriter):
     """Each task writes one file under a hidden name; the commit gives those of successful tasks their names."""
@@ -308,11 +361,18 @@ class WarcWriter(DataSourceArrowWriter):
         name = f"part-{self.run}-{uuid.uuid4().hex[:12]}.warc" + ".gz" * self.packed
         temporary, n = f"{path}/_temporary-{self.run}/{name}", 0
         fs.create_dir(os.path.dirname(temporary), recursive=True)
+        marks, at, place = [], 0, 0
         with fs.open_output_stream(temporary, compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
-                    out.write(self.record(row))
-                    n += 1
+                    if not marks or at - marks[-1][0] >= INDEX_BYTES:
+                        marks.append((at, place))
+                    whole = self.record(row)
+                    packed = self._deflated(whole) if self.packed else whole
+                    out.write(packed)
+                    at, place, n = at + len(packed), place + len(whole), n + 1
+        with fs.open_output_stream("{}/_{}.index".format(*os.path.split(temporary)), compression=None) as out:
+            out.write(json.dumps({"size": at, "marks": marks}).encode())
         return Written(temporary, f"{path}/{name}", n)
 
     def record(self, row: dict) -> bytes:
@@ -323,25 +383,31 @@ class WarcWriter(DataSourceArrowWriter):
             body = f"HTTP/1.1 {row['http_status']} \r\n{head}\r\n".encode() + body
         names = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type"}
         lines = [f"{h}: {self._line(row[c])}" for c, h in names.items() if row.get(c) is not None]
+        lines += [f"{EXACT}{h}: {base64.b64encode(row[c].encode()).decode()}" for c, h in names.items() if row.get(c) is not None and self._line(row[c]) != row[c]]
+        lines += [f"{NO_PAYLOAD}: true"] * (row.get("payload") is None)
         lines += [f"{k}: {self._line(v)}" for k, v in (row.get("headers") or []) if k.lower() not in (*NAMED.values(), "content-length") and v is not None]
-        whole = ("WARC/1.0\r\n" + "\r\n".join([*lines, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
-        if not self.packed:
-            return whole
+        return ("WARC/1.0\r\n" + "\r\n".join([*lines, f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    def _deflated(self, whole: bytes) -> bytes:
         z = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         return z.compress(whole) + z.flush()
 
     @staticmethod
     def _line(value: str) -> str:
-        return " ".join(str(value).splitlines())
+        return " ".join(str(value).splitlines()).strip()
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = _filesystem(self.path)
         old = [x.path for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.path.endswith(SUFFIXES)] if self.overwrite else []
         for m in messages:
             if m is not None and m.records:
-                fs.move(m.temporary, m.final)
+                for was, now in m.renamed():
+                    fs.move(was, now)
         for p in old:
             fs.delete_file(p)
+            index = "{}/_{}.index".format(*os.path.split(p))
+            if fs.get_file_info(index).type == pafs.FileType.File:
+                fs.delete_file(index)
         self._clean(fs, path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -359,7 +425,9 @@ class WarcDataSource(DataSource):
     Repeated records are all returned; an empty file or folder gives no rows.
     Written are warc_type, record_id, target_uri, warc_date, content_type,
     headers, http_status, http_headers and payload, as far as the data has
-    them; null ones are left out, a null payload is an empty block.
+    them; null ones are left out, and come back as null.  In `headers` a value
+    loses line breaks and white space at its ends.  Other columns, of whatever
+    name, are ignored.
     """
 
     @classmethod
@@ -380,3 +448,22 @@ def register(spark: SparkSession) -> None:
     """Makes the format `warc` known and lets Spark hand predicates to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` with the scheme of Spark's default file system, where it has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def read(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records below `path`, in partitions of spark.sql.files.maxPartitionBytes unless `partition_bytes` says otherwise."""
+    register(spark)
+    size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return spark.read.format("warc").options(**({"partition_bytes": size} | options)).load(qualified(spark, path))
+
+
+def write(records: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """`records` as WARC files below `path`, one a partition."""
+    register(records.sparkSession)
+    records.write.format("warc").options(**options).mode(mode).save(qualified(records.sparkSession, path))
