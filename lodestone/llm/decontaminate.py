@@ -4,9 +4,11 @@ Each task gathers whole documents into shards of about SHARD words and sorts the
 shard's suffixes (none runs over its document's end) by prefix doubling, down to
 the length of the longest test item.  Every suffix of every test item is then
 looked up by binary search in every shard; the interval of training suffixes
-that begin with its first `min_words` words holds all places of a match, and
-from each the match is followed word by word to its end.  The search is exact,
-nothing is shuffled, and a task holds one shard at a time.
+that begin with its first `min_words` words holds all places of a match.  Places
+that go on from the word before are left out, and from the others the match is
+followed word by word to its end.  This is done for SLICE places at a time, so
+memory doesn't follow the product of repetitive texts and items.  The search is
+exact, nothing is shuffled, and a task holds one shard at a time.
 
 Words are compared after lower-casing and with punctuation as spaces.
 """
@@ -14,6 +16,7 @@ Words are compared after lower-casing and with punctuation as spaces.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textgrams as G
-from lodestone.llm.common import new_path, small_batches
+from lodestone.llm.common import small_batches
 
 #: Words of a shard; a longer document is a shard of its own.
 SHARD = 600_000
-#: Words of test items that every task is given at once; more are searched in several passes.
-TEST_WORDS = 4_000_000
+#: Words of test items that are broadcast at once (about 72 bytes each); more are searched in several passes.
+TEST_WORDS = 1_000_000
+#: Places of matches that are held at once.
+SLICE = 2_000_000
 
 _BITS, _PACK = np.uint64(21), 3
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("match_words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("item_words", pa.int64())])
@@ -132,43 +137,45 @@ class Items:
 
 def matches(word: np.ndarray, start: np.ndarray, items: Items) -> dict[str, np.ndarray]:
     """For each (document, item) that share a long enough run of words, the longest; of equally long ones the first in the document, then in the item."""
-    found = [np.zeros((0, 2), np.int64)]
+    best = np.zeros((0, 5), np.int64)
     if len(word) and len(items.word):
         sa = SuffixArray(word, start, items.longest)
         for words, at, wanted in items.suffixes:
             lo, hi = sa.interval(wanted, words)
-            count = hi - lo
-            if count.any():
-                q = np.repeat(at, count)
-                spot = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                found.append(np.column_stack((sa.order[spot], q)))
-        left = sa.left
-    pairs = np.concatenate(found)
-    if not len(pairs):
-        none = np.zeros(0, np.int64)
-        return dict.fromkeys(("doc", "item", "match_words", "doc_word", "item_word"), none)
-    p, q = pairs.T
-    size, room = np.diff(start), np.diff(items.start)
-    doc_at = np.repeat(start[:-1], size)[p]
-    before = (p > doc_at) & (q > items.start[items.owner[q]])
-    longer = before & (word[np.where(before, p - 1, 0)] == items.word[np.where(before, q - 1, 0)])
-    p, q = p[~longer], q[~longer]
+            met = np.flatnonzero(hi > lo)
+            at, lo, count = at[met], lo[met], (hi - lo)[met]
+            end = np.cumsum(count)
+            for first in range(0, int(end[-1]) if len(end) else 0, SLICE):
+                place = np.arange(first, min(first + SLICE, int(end[-1])))
+                of = np.searchsorted(end, place, "right")
+                p, q = sa.order[lo[of] + place - (end[of] - count[of])], at[of]
+                best = _longest(np.concatenate((best, _followed(sa, start, items, p, q, words))))
+    return dict(zip(("doc", "item", "match_words", "doc_word", "item_word"), best.T))
+
+
+def _followed(sa: SuffixArray, start: np.ndarray, items: Items, p: np.ndarray, q: np.ndarray, words: int) -> np.ndarray:
+    """Of matches at places p of the shard and q of the items, those that can't begin a word earlier, as (doc, item, length, place in doc, place in item)."""
+    word = sa.word
+    doc, item = np.searchsorted(start, p, "right") - 1, items.owner[q]
+    before = (p > start[doc]) & (q > items.start[item])
+    begins = ~before | (word[np.where(before, p - 1, 0)] != items.word[np.where(before, q - 1, 0)])
+    p, q, doc, item = p[begins], q[begins], doc[begins], item[begins]
     length = np.zeros(len(p), np.int64)
-    most = np.minimum(left[p], items.left[q])
+    most = np.minimum(sa.left[p], items.left[q])
     live = np.arange(len(p))
     while len(live):
         live = live[length[live] < most[live]]
         live = live[word[p[live] + length[live]] == items.word[q[live] + length[live]]]
         length[live] += 1
-    doc = np.searchsorted(start, p, "right") - 1
-    item = items.owner[q]
-    full = length >= np.array([s[0] for s in items.suffixes])[np.searchsorted([s[0] for s in items.suffixes], np.minimum(room[item], items.suffixes[-1][0]))]
-    doc, item, length, at, of = doc[full], item[full], length[full], p[full] - start[doc[full]], q[full] - items.start[item[full]]
-    order = np.lexsort((of, at, -length, item, doc))
-    doc, item, length, at, of = doc[order], item[order], length[order], at[order], of[order]
-    best = np.ones(len(doc), bool)
-    best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    return {"doc": doc[best], "item": item[best], "match_words": length[best], "doc_word": at[best], "item_word": of[best]}
+    full = length >= words
+    return _longest(np.column_stack((doc, item, length, p - start[doc], q - items.start[item]))[full])
+
+
+def _longest(rows: np.ndarray) -> np.ndarray:
+    """The longest match of each (doc, item); of equally long ones the first in the document, then in the item."""
+    doc, item, length, at, of = rows.T
+    rows = rows[np.lexsort((of, at, -length, item, doc))]
+    return rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))[: len(rows)]]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], norm: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -190,7 +197,7 @@ def _shards(batches: Iterator[pa.RecordBatch], norm: str) -> Iterator[tuple[pa.T
 
 
 def _test_passes(bench: DataFrame, min_words: int) -> list[Items]:
-    """The items, in as many parts as keep each within TEST_WORDS words (about 32 MB); their number follows the benchmark, not the corpus."""
+    """The items, in as many parts as keep each within about TEST_WORDS words; their number follows the benchmark, not the corpus."""
     norm = bench.select(F.col("item_id").cast("bigint").alias("item_id"), G.normalised(F.col("text")).alias("norm")).where("norm != ''").distinct()
     chars = norm.agg(F.sum(F.length("norm"))).first()[0] or 0
     parts = max(1, math.ceil(chars / 4 / TEST_WORDS))
@@ -220,8 +227,11 @@ def find_matches(docs: DataFrame, bench: DataFrame, min_words: int = 13) -> Data
     small_batches(docs.sparkSession)
     norm = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), G.normalised(F.col("text")).alias("norm")).where("norm != ''")
 
-    def search(items: Items):
+    def search(part: Items):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = sent.value
             for rows, word, start in _shards(batches, "norm"):
                 m = matches(word, start, items)
                 if len(m["doc"]):
@@ -247,10 +257,12 @@ def decontaminated(docs: DataFrame, bench: DataFrame, min_words: int = 13) -> Da
     join: every row is judged by its own text.  Null and empty texts stay.
     """
     small_batches(docs.sparkSession)
-    norm = "norm_" + new_path(docs.sparkSession, "x")[-8:]
-    for items in _test_passes(bench, min_words):
+    norm = "norm_" + uuid.uuid4().hex[:8]
+    for part in _test_passes(bench, min_words):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
 
-        def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
             for rows, word, start in _shards(batches, norm):
                 stays = np.ones(rows.num_rows, bool)
                 stays[matches(word, start, items)["doc"]] = False

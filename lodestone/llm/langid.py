@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textgrams as G
+from lodestone.llm.common import small_enough
 
 DIMS = 1 << 12
 GRAMS = (1, 2, 3, 4)
@@ -138,22 +139,23 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, (rows[0]["n"] if rows else 0)
 
 
-def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, spread: float = 6.0) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, spread: float = 6.0, languages: int = 2000) -> Model:
     """Trains on rows whose column `lang` isn't null.
 
-    `spread` sets the distance at which texts are rejected (see `limits`).  A
+    Up to `per_language` rows of each language are taken, by a hash of id and
+    text; two thirds are clustered, one task a language, and the limits of
+    distance come from the third that wasn't.  More than `languages` different
+    names fail, since the model is given to every task.  `spread` sets the distance at which texts are rejected (see `limits`).  A
     language whose name is empty, or all of whose rows are without letters,
     isn't learned.
     """
     df, n = document_frequency(docs)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
+    none = Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     rows = docs.where("lang is not null and lang != ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    many = {r["lang"]: r["count"] for r in docs.where("lang is not null and lang != ''").groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
-    share = F.create_map(*(F.lit(x) for k, c in many.items() for x in (k, min(1.0, 1.3 * per_language / c)))) if many else F.lit(None)
-    if not many:
-        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    picked = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    count: dict[str, list] = {k: [] for k in sorted(many)}
+    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), 1.3 * per_language / F.col("count")).alias("share"))
+    share = F.broadcast(share) if small_enough(share, 100_000) else share
+    picked = rows.join(share, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,21 +163,24 @@ def fit(docs: DataFrame, per_language: int = 400, centroids: int = 4, spread: fl
                 if piece.num_rows:
                     yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("h"), pa.array([x.tobytes() for x in counts(piece.column("norm"))], pa.binary())], ["lang", "h", "counts"])
 
+    def learn(table: pa.Table) -> pa.Table:
+        by = np.argsort(table["h"].to_numpy(), kind="stable")[:per_language]
+        raw = np.frombuffer(b"".join(table["counts"][int(i)].as_py() for i in by), np.float32).reshape(len(by), DIMS)
+        v, apart = vectors(raw, idf), np.arange(len(by)) % 3 == 2
+        c = cluster(v[~apart], centroids)
+        judged = apart if apart.any() else ~apart
+        return pa.table({"lang": table["lang"].slice(0, 1), "centroids": pa.array([c.astype(np.float32).tobytes()]), "near": pa.array([(v[judged] @ c.T).max(axis=1).astype(float).tolist()]), "bands": pa.array([band(raw[judged]).tolist()])})
+
     got = picked.select("lang", "h", letters(F.col("text")).alias("norm")).where("norm rlike '\\\\S'").mapInArrow(vector, "lang string, h long, counts binary")
-    for r in got.collect():
-        count[r["lang"]].append((r["h"], bytes(r["counts"])))
-    found, names, near, bands = [], [], [], []
-    for lang, own in count.items():
-        own = sorted(own)[:per_language]
-        if not own:
-            continue
-        raw = np.frombuffer(b"".join(c for _, c in own), np.float32).reshape(len(own), DIMS)
-        v = vectors(raw, idf)
-        c = cluster(v, centroids)
-        found.append(c), names.extend([lang] * len(c)), near.append((v @ c.T).max(axis=1)), bands.append(band(raw))
+    found = got.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, near array<double>, bands array<long>").limit(languages + 1).collect()
+    if len(found) > languages:
+        raise ValueError(f"more than {languages} languages in the column lang; raise `languages` (a language's centroids take {4 * DIMS * centroids} bytes), or clean the column")
     if not found:
-        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    return Model(idf, np.concatenate(found).astype(np.float32), names, limits(np.concatenate(near), np.concatenate(bands), spread))
+        return none
+    found = sorted(found, key=lambda r: r["lang"])
+    directions = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS) for r in found]
+    names = [r["lang"] for r, c in zip(found, directions) for _ in c]
+    return Model(idf, np.concatenate(directions), names, limits(np.concatenate([r["near"] for r in found]), np.concatenate([r["bands"] for r in found]), spread))
 
 
 def limits(near: np.ndarray, bands: np.ndarray, spread: float) -> np.ndarray:

@@ -40,7 +40,7 @@ def features(text: Column) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1))
     word = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     n = F.size(word)
-    line = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    line = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     per_word = F.greatest(n, F.lit(1))
     return {
         "n_words": n.cast("double"),

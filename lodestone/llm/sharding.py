@@ -9,27 +9,37 @@ k documents share costs k rows and not k*k; it weighs 1/(k-1) for each two of
 them, so every unit weighs 1 to a document.  Units that the very same documents
 share are one link of added weight.
 
-Each round is a chain of Spark joins: labels are counted by sentence and shard,
-every document sums the counts of its sentences and wishes for the shard with
-the most weight.  Wishes from shard i to j are granted, best gain first, as far
-as wishes from j to i match them or j has room, so sizes stay even.  Documents
-without links fill the shards up at the end.
+Each round is a chain of Spark joins: labels are counted by unit and shard,
+every document sums the counts of its units and wishes for the shard with the
+most weight.  Wishes from shard i to j are granted, best gain first, as far as
+wishes from j to i match them or j has room, so sizes stay even.  In each round a
+hash lets about half of the documents act, so two that want each other's shard
+don't swap for ever.  Rounds go on until hardly a wish is left, or none of the
+left ones can be granted.  Documents without links fill the shards up at
+the end.
+
+Who is granted a wish is decided by counts of gains in bins (eighths of powers
+of two) and, within the bin in which the quota runs out, of bins of hashes; so
+no shard's documents are sorted or numbered in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textgrams as G
-from lodestone.llm.common import aside, dropped, saved, small_batches, small_enough
+from lodestone.llm.common import aside, dropped, repeated_ids, saved, semi, small_batches, small_enough
 
-#: Buckets in which documents without links are numbered.
-NUMBERED = 256
+#: Documents without links that are numbered in one bucket.
+NUMBERED = 1_000_000
+#: Bins of hashes by which a shard's, or a bin of gains', documents are told apart.
+SUB = 4096
 #: Words of an n-gram, and neighbouring n-grams of which one is taken: runs of GRAM + SPAN - 1 words are links.
 GRAM, SPAN = 16, 17
 
@@ -37,14 +47,19 @@ UNITS = pa.schema([("doc_id", pa.int64()), ("link", pa.int64())])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Winnowed n-grams and the whole text of rows (doc_id, norm, whole)."""
+    """Winnowed n-grams and the whole text of rows (doc_id, norm, whole), each once a row."""
     for batch in batches:
         for part in G.pieces(batch):
             h, text = G.winnowed(*G.grams(*G.words(part.column("norm")), GRAM), SPAN)
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)
             whole = part.column("whole")
-            full = whole.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(np.concatenate((doc[text], doc[full]))), pa.array(np.concatenate((h.view(np.int64), whole.drop_null().to_numpy())))], schema=UNITS)
+            full = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
+            text, unit = np.concatenate((text, full)), np.concatenate((h.view(np.int64), whole.drop_null().to_numpy()))
+            by = np.lexsort((unit, text))
+            text, unit = text[by], unit[by]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (unit[1:] != unit[:-1])
+            yield pa.record_batch([pa.array(doc[text[new]]), pa.array(unit[new])], schema=UNITS)
         G.give_back()
 
 
@@ -52,15 +67,21 @@ def links(docs: DataFrame, least: int = 40) -> DataFrame:
     """(doc_id, link, weight, k): sentences of `least` characters or more, winnowed n-grams and whole texts that several documents share."""
     small_batches(docs.sparkSession)
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sentence = F.filter(F.transform(F.split("text", r"[.!?\n\r]+"), F.trim), lambda s: F.length(s) >= least)
+    sentence = F.filter(F.transform(F.split("text", r"[.!?\n\r]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
     sentences = slim.select("doc_id", F.explode(F.array_distinct(F.transform(sentence, lambda s: F.xxhash64(s)))).alias("link"))
     norm = slim.where(r"text rlike '\\S'").select("doc_id", "text", G.normalised(F.col("text")).alias("norm"))
     whole = F.when(F.col("norm") != "", F.xxhash64("norm")).otherwise(F.xxhash64("text"))
     units = norm.select("doc_id", "norm", whole.alias("whole")).mapInArrow(_units, "doc_id bigint, link bigint")
-    has = saved(sentences.unionByName(units).distinct(), "shard-units")
+    has = sentences.unionByName(units)
+    twice = repeated_ids(slim)
+    if twice is not None:  # several rows of one document may have the same unit; documents of one row can't
+        has = semi(has, twice, "left_anti").unionByName(semi(has, twice).distinct())
+    has = saved(has, "shard-units")
     by = has.groupBy("link").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("sig"), F.bit_xor(F.xxhash64(F.col("doc_id") + 1)).alias("sig2")).where("k > 1")
     alike = by.groupBy("k", "sig", "sig2").agg(F.min("link").alias("link"), F.count("*").alias("times"))
-    return has.join(alike.select("link", (F.col("times") / (F.col("k") - 1)).alias("weight"), "k"), "link").select("doc_id", "link", "weight", "k")
+    out = saved(has.join(alike.select("link", (F.col("times") / (F.col("k") - 1)).alias("weight"), "k"), "link").select("doc_id", "link", "weight", "k"), "shard-links")
+    dropped(has)
+    return out
 
 
 def _quotas(wishes: dict[tuple[int, int], int], size: list[int], cap: int) -> dict[tuple[int, int], int]:
@@ -92,10 +113,48 @@ def _level(sizes: list[int], free: int) -> list[int]:
     return add
 
 
+def _sub() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SUB)).cast("int")
+
+
+def _upto(counts: list[tuple[int, int]], most: int) -> tuple[int | None, int]:
+    """Of (bin, size) the first bin, in ascending order, that `most` can't hold whole (None if there is none), and what is left for it."""
+    for k, n in sorted(counts):
+        if n > most:
+            return k, most
+        most -= n
+    return None, most
+
+
+def _by(rows: list, keys: int) -> dict[tuple, list]:
+    out: dict[tuple, list] = {}
+    for r in rows:
+        out.setdefault(tuple(r[:keys]), []).append((r[keys], r[keys + 1]))
+    return out
+
+
+def _granted(wish: DataFrame, quota: dict[tuple[int, int], int]) -> DataFrame:
+    """(doc_id, to) of the wishes (doc_id, size, own, to, gain) of greatest gain that the quotas hold; of about equal gains a hash of the doc_id decides."""
+    spark = wish.sparkSession
+    binned = wish.withColumns({"bin": F.floor(-8 * F.log2("gain")).cast("int"), "sub": _sub()})
+    counts = _by(binned.groupBy("own", "to", "bin").agg(F.sum("size")).collect(), 2)
+    edge = {k: _upto(counts[k], q) for k, q in quota.items() if k in counts}
+    rows = [(i, j, b, rest) for (i, j), (b, rest) in edge.items() if b is not None]
+    last = binned.join(_table(spark, rows, "own int, to int, bin int, rest long"), ["own", "to", "bin"])
+    fine = _by(last.groupBy("own", "to", "sub").agg(F.sum("size")).collect(), 2)
+    limit = []
+    for (i, j), (b, rest) in edge.items():
+        sub = _upto(fine.get((i, j), []), rest)[0]
+        limit.append((i, j, 1 << 30 if b is None else b, SUB if sub is None else sub))
+    met = binned.join(_table(spark, limit, "own int, to int, last int, upto int"), ["own", "to"])
+    return met.where("bin < last or (bin = last and sub < upto)").select("doc_id", "to")
+
+
 def _fill(nodes: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc_id, size) placed in shards, by number, so that all shards end as even as they can."""
     spark = nodes.sparkSession
-    bucket = nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(NUMBERED)))
+    buckets = max(64, -(-nodes.count() // NUMBERED))
+    bucket = nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     totals = dict(bucket.groupBy("bucket").agg(F.sum("size")).collect())
     before, offset = 0, []
     for b in sorted(totals):
@@ -115,23 +174,31 @@ def _fill(nodes: DataFrame, sizes: list[int]) -> DataFrame:
     return at.select("doc_id", "size", shard.alias("shard"))
 
 
-def assignment(docs: DataFrame, shards: int = 16, rounds: int = 5, slack: float = 0.02, least: int = 40) -> DataFrame:
+def assignment(docs: DataFrame, shards: int = 16, rounds: int = 50, slack: float = 0.02, least: int = 40, settled: float = 0.001) -> DataFrame:
     """(doc_id bigint, shard int, linked boolean) for every distinct doc_id that isn't null.
 
     Rows that repeat a doc_id go to one shard together and count as many as
-    they are.  A shard has at most (1 + slack) * rows / shards rows, unless one
-    doc_id alone has more; whatever links leave over is evened out by the
-    documents without links.  Null and empty texts have no links.  Ties: of
-    shards of equal weight a document prefers its own, then the lowest; of equal
-    gains the smaller doc_id goes first.  An empty table gives no rows; extra
-    columns are ignored.
+    they are.  A shard has at most (1 + slack) * rows / shards rows, unless the
+    rows of one doc_id alone are more; whatever links leave over is evened out
+    by the documents without links.  Null and empty texts have no links.
+
+    `least` is the number of characters from which on an equal sentence is a
+    link of its own; runs of 32 words and whole texts are links at any length.
+    Rounds end when all wishes left would gain the share `settled` of all links'
+    weight or less, or when in three rounds in a row that gain hasn't shrunk by
+    a hundredth; `rounds` is only a bound in case that neither happens.
+
+    Ties: of shards of equal weight a document prefers its own, then the lowest;
+    of about equal gains a hash of the doc_id decides.  An empty table gives no
+    rows; extra columns are ignored.
     """
     if shards < 1:
         raise ValueError("there must be a shard at least")
     spark = docs.sparkSession
-    link = saved(links(docs, least), "shard-links")
+    link = links(docs, least)
     counted = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("size"))
-    anchor = link.groupBy("doc_id").agg(F.min(F.struct("k", "link")).alias("a")).select("doc_id", F.pmod(F.xxhash64("a.link"), F.lit(shards)).cast("int").alias("first"))
+    # the least hash of a document's links is the same for two documents as often as they share their links, so most copies start together
+    anchor = link.groupBy("doc_id").agg(F.min(F.xxhash64("link")).alias("a")).select("doc_id", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("first"))
     nodes = saved(counted.join(anchor, "doc_id", "left"), "shard-nodes")
     cap = -(-int((nodes.agg(F.sum("size")).first()[0] or 0) * (1 + slack)) // shards)
 
@@ -143,39 +210,53 @@ def assignment(docs: DataFrame, shards: int = 16, rounds: int = 5, slack: float
         """What goes beyond a shard's capacity moves to where there is room."""
         if max(sizes(df)) <= cap:
             return df
-        upto = F.sum("size").over(Window.partitionBy("shard").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = saved(df.withColumn("upto", upto), "shard-over")
-        stay = ranked.where(F.col("upto") <= cap).select("doc_id", "size", "shard")
-        return stay.unionByName(_fill(ranked.where(F.col("upto") > cap).select("doc_id", "size"), sizes(stay)))
-
-    labels = saved(within(nodes.where("first is not null").select("doc_id", "size", F.col("first").alias("shard"))), "shard-labels")
-    for _ in range(rounds):
-        own = link.join(labels, "doc_id").select("doc_id", "link", "weight", "size", F.col("shard").alias("own"))
+        counts = _by(df.groupBy("shard", _sub().alias("sub")).agg(F.sum("size")).collect(), 1)
+        limit = [(s, SUB if k is None else k) for (s,), (k, _) in ((x, _upto(n, cap)) for x, n in counts.items())]
+        ranked = saved(df.join(_table(spark, limit, "shard int, upto int"), "shard"), "shard-over")
+        stay = ranked.where(_sub() < F.col("upto")).select("doc_id", "size", "shard")
+        out = saved(stay.unionByName(_fill(ranked.where(_sub() >= F.col("upto")).select("doc_id", "size"), sizes(stay))), "shard-within")
+        dropped(ranked)
+        return out
+
+    labels = within(saved(nodes.where("first is not null").select("doc_id", "size", F.col("first").alias("shard")), "shard-labels"))
+    own = saved(link.join(labels, "doc_id").select("doc_id", "link", "weight", "size", F.col("shard").alias("own")), "shard-own")
+    whole = link.agg(F.sum(F.col("weight") * (F.col("k") - 1))).first()[0] or 0.0
+    dropped(link)
+    lowest, stalled = math.inf, 0
+    for number in range(rounds):
         count = own.groupBy("link", F.col("own").alias("shard")).agg(F.sum("size").alias("c"))
         score = own.join(count, "link").groupBy("doc_id", "size", "own", "shard").agg(F.sum(F.col("weight") * (F.col("c") - F.when(F.col("shard") == F.col("own"), F.col("size")).otherwise(0))).alias("score"))
         best = score.groupBy("doc_id", "size", "own").agg(F.max(F.struct(F.round("score", 9).alias("score"), (F.col("shard") == F.col("own")).alias("stay"), (-F.col("shard")).alias("neg"))).alias("best"), F.max(F.when(F.col("shard") == F.col("own"), F.round("score", 9))).alias("now"))
         wish = saved(best.where("not best.stay").select("doc_id", "size", "own", (-F.col("best.neg")).alias("to"), (F.col("best.score") - F.coalesce("now", F.lit(0.0))).alias("gain")).where("gain > 0"), "shard-wishes")
-        wishes = {(r.own, r.to): r.n for r in wish.groupBy("own", "to").agg(F.sum("size").alias("n")).collect()}
-        quota = _quotas(wishes, sizes(labels), cap)
-        if not quota:
+        acts = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(2)) == 0
+        rows = wish.groupBy("own", "to").agg(F.sum(F.when(acts, F.col("size"))).alias("now"), F.sum("gain").alias("gain")).collect()
+        gain = sum(r.gain for r in rows)
+        stalled = stalled + 1 if gain > 0.99 * lowest else 0
+        lowest = min(lowest, gain)
+        if gain <= settled * whole or stalled == 3:
             dropped(wish)
             break
-        upto = F.sum("size").over(Window.partitionBy("own", "to").orderBy(F.desc("gain"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-        moved = wish.withColumn("upto", upto).join(_table(spark, [(i, j, n) for (i, j), n in quota.items()], "own int, to int, quota long"), ["own", "to"]).where("upto <= quota").select("doc_id", "to")
-        after = saved(labels.join(moved, "doc_id", "left").select("doc_id", "size", F.coalesce("to", "shard").alias("shard")), "shard-labels")
-        dropped(wish, labels)
-        labels = after
-    linked = saved(within(labels), "shard-labels")
+        quota = _quotas({(r.own, r.to): r.now for r in rows if r.now}, sizes(labels), cap)
+        if quota:
+            moved = saved(_granted(wish.where(acts), quota), "shard-moves")
+            to = F.broadcast(moved) if small_enough(moved, 4_000_000) else moved
+            now = [saved(df.join(to, "doc_id", "left").withColumn(c, F.coalesce("to", c)).drop("to"), "shard-labels") for df, c in ((labels, "shard"), (own, "own"))]
+            dropped(labels, own, moved)
+            labels, own = now
+        dropped(wish)
+    linked = within(labels)
     rest = _fill(nodes.where("first is null").select("doc_id", "size"), sizes(linked))
     out = saved(linked.select("doc_id", "shard", F.lit(True).alias("linked")).unionByName(rest.select("doc_id", F.col("shard").cast("int").alias("shard"), F.lit(False).alias("linked"))), "shards")
-    dropped(link, nodes, labels, linked)
+    dropped(own, nodes, labels, linked)
     return out
 
 
 def sharded(docs: DataFrame, **how) -> DataFrame:
     """`docs` with their shard in the column `shard` (one of that name is replaced).
 
-    Rows without a doc_id have no links; a hash of their text places them.
+    Rows without a doc_id have no links; they are spread by a hash of their
+    place in the table, so each shard gets about as many of them, equal rows or
+    not, but for chance.
     Up to four million ids are broadcast; beyond that the join is shuffled.
     """
     shards = how.get("shards", 16)
@@ -183,4 +264,4 @@ def sharded(docs: DataFrame, **how) -> DataFrame:
     at = F.broadcast(at) if small_enough(at, 4_000_000) else at
     kept, back = aside(docs.drop("shard"), "shard_doc_id", "shard_found")
     joined = kept.join(at, kept["doc_id"].cast("bigint") == at["shard_doc_id"], "left")
-    return joined.withColumn("shard", F.coalesce("shard_found", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))).drop("shard_doc_id", "shard_found").transform(back)
+    return joined.withColumn("shard", F.coalesce("shard_found", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))).drop("shard_doc_id", "shard_found").transform(back)

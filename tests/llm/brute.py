@@ -108,6 +108,74 @@ def trigram_lm(texts, target, weights, v):
     return total
 
 
+class TrigramCounts:
+    """Counts of all texts, from which `score` takes away a text's own."""
+
+    def __init__(self, texts):
+        self.uni, self.bi, self.tri = Counter(), Counter(), Counter()
+        for t in texts:
+            self._add(t, 1)
+
+    def _add(self, text, by):
+        w = words(text)
+        w = [*w, None] if w else []
+        for x in w:
+            self.uni[x] += by
+        for x in zip(w, w[1:]):
+            self.bi[x] += by
+        for x in zip(w, w[1:], w[2:]):
+            self.tri[x] += by
+
+    def score(self, text, weights, v):
+        self._add(text, -1)
+        n, w, total = sum(self.uni.values()), [*words(text), None], 0.0
+        for i, x in enumerate(w if len(w) > 1 else []):
+            c2 = self.uni[w[i - 1]] if i >= 1 else 0
+            c3 = self.bi[w[i - 2], w[i - 1]] if i >= 2 else 0
+            p = [self.tri[w[i - 2], w[i - 1], x] / c3 if c3 else 0, self.bi[w[i - 1], x] / c2 if c2 else 0, self.uni[x] / n, 1 / (v + 1)]
+            total += math.log(sum(a * l for a, l in zip(p, weights[128 + int(math.log2(c3)) if c3 else 64 + int(math.log2(c2)) if c2 else 0])))
+        self._add(text, 1)
+        return total
+
+
+def lm_weights(texts, held, rounds=60):
+    """Mixture weights by bucket: EM on the very estimates of held-out events under counts of all other texts; and the probabilities they give each event."""
+    end = object()
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for k, t in enumerate(texts):
+        w = words(t)
+        if k in held or not w:
+            continue
+        w = [*w, end]
+        uni.update(w)
+        bi.update(zip(w, w[1:]))
+        tri.update(zip(w, w[1:], w[2:]))
+    n, v = sum(uni.values()), len(uni)
+    seen = {}
+    for k in held:
+        w = words(texts[k])
+        for i, x in enumerate([*w, end] if w else []):
+            c2 = uni[w[i - 1]] if i >= 1 else 0
+            c3 = bi[w[i - 2], w[i - 1]] if i >= 2 else 0
+            p = [tri[w[i - 2], w[i - 1], x] / c3 if c3 else 0, bi[w[i - 1], x] / c2 if c2 else 0, uni[x] / n, 1 / (v + 1)]
+            seen.setdefault(128 + int(math.log2(c3)) if c3 else 64 + int(math.log2(c2)) if c2 else 0, []).append(p)
+    out = {}
+    for b, rows in seen.items():
+        usable = [any(r[k] > 0 for r in rows) for k in range(4)]
+        lam = [u / sum(usable) for u in usable]
+        for _ in range(rounds):
+            new = [0.0] * 4
+            for r in rows:
+                whole = sum(a * l for a, l in zip(r, lam))
+                for k in range(4):
+                    new[k] += r[k] * lam[k] / whole / len(rows)
+            close, lam = max(abs(a - l) for a, l in zip(new, lam)) < 1e-6, new
+            if close:
+                break
+        out[b] = lam
+    return out, seen
+
+
 def split_url(url):
     m = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)", url or "")
     if not m:
@@ -126,3 +194,123 @@ def url_action(url, allow, block):
             if hit and path[: len(p)] == p and (depth > best[0] or depth == best[0] and action == "block"):
                 best = (depth, action, e)
     return best[1:]
+
+
+def mixture(rows, temperature):
+    """Rates of rows (source, text) by bisection, a source at a time, with the smallest total that takes no words from any."""
+    size = [len((t or "").split()) for _, t in rows]
+    have = Counter()
+    for (s, _), n in zip(rows, size):
+        have[s] += n
+    unit = sum(size) / len(rows)
+    share = {s: w**temperature for s, w in have.items() if w}
+    whole = sum(share.values())
+    total = max(have[s] * whole / w for s, w in share.items())
+    lam = {}
+    for s, w in share.items():
+        own = [n for (x, _), n in zip(rows, size) if x == s]
+        lo, hi = 0.0, 1.0
+        words_at = lambda a: sum(n * math.exp(a * n / unit) for n in own)  # noqa: B023, E731
+        while words_at(hi) < total * w / whole:
+            hi *= 2
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words_at(mid) < total * w / whole else (lo, mid)
+        lam[s] = lo
+    return [math.exp(lam[s] * n / unit) if s in lam else 1.0 for (s, _), n in zip(rows, size)], size
+
+
+def rule_features(text):
+    """The statistics that quality rules use, in plain Python."""
+    t = text or ""
+    chars, kind = max(1, len(t)), [unicodedata.category(c) for c in t]
+    space = [c in " \t\n\x0b\f\r" for c in t]
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+    lines = [x for x in (y.strip(" ") for y in t.split("\n")) if x]
+    n = max(1, len(w))
+    return {
+        "n_words": len(w), "word_length": sum(not s for s in space) / n, "letter_share": sum(k[0] == "L" for k in kind) / chars, "upper_share": sum(k == "Lu" for k in kind) / chars,
+        "digit_share": sum(k == "Nd" for k in kind) / chars, "symbol_share": sum(k[0] not in "LMN" and not s for k, s in zip(kind, space)) / chars, "distinct_word_share": len(set(w)) / n,
+        "repeated_line_share": (len(lines) - len(set(lines))) / max(1, len(lines)), "sentence_ends": sum(c in ".!?" for c in t) / n, "lines_per_word": len(lines) / n,
+    }
+
+
+def matches(docs, items, least):
+    """Longest common runs of words of at least `least`, or of a whole shorter item, by a table of the items' n-grams: {(doc, item): (length, place in doc, place in item)}."""
+    split = {i: words(t) for i, t in items.items()}
+    table = {}
+    for i, w in split.items():
+        n = min(least, len(w))
+        for q in range(len(w) - n + 1 if n else 0):
+            table.setdefault((n, *w[q : q + n]), []).append((i, q))
+    sizes = sorted({k[0] for k in table})
+    out = {}
+    for d, t in docs.items():
+        w = words(t)
+        for p in range(len(w)):
+            for n in sizes:
+                for i, q in table.get((n, *w[p : p + n]), ()):
+                    k = n
+                    while p + k < len(w) and q + k < len(split[i]) and w[p + k] == split[i][q + k]:
+                        k += 1
+                    if (d, i) not in out or (-k, p, q) < (-out[d, i][0], *out[d, i][1:]):
+                        out[d, i] = (k, p, q)
+    return out
+
+
+def propagated(links, size, shards, cap, rounds=30):
+    """Weight of links within shards after label propagation one document at a time: {doc: shard}.  links: {unit: (weight, docs)}."""
+    of = {}
+    for u, (_, docs) in links.items():
+        for d in docs:
+            of.setdefault(d, []).append(u)
+    label, full = {}, [0] * shards
+    for k, d in enumerate(sorted(of)):
+        s = k % shards
+        label[d] = s
+        full[s] += size[d]
+    for _ in range(rounds):
+        moved = 0
+        for d in sorted(of):
+            score = Counter()
+            for u in of[d]:
+                for e in links[u][1]:
+                    if e != d:
+                        score[label[e]] += links[u][0] * size[e]
+            room = [s for s in score if s != label[d] and full[s] + size[d] <= cap]
+            best = max(room, key=lambda s: (score[s], -s), default=None)
+            if best is not None and score[best] > score[label[d]]:
+                full[label[d]] -= size[d]
+                full[best] += size[d]
+                label[d] = best
+                moved += 1
+        if not moved:
+            break
+    return label
+
+
+def kept_weight(links, label):
+    """Weight of pairs of linked documents that are in one shard, and of all."""
+    inside = whole = 0.0
+    for w, docs in links.values():
+        for a, b in itertools.combinations(docs, 2):
+            whole += w
+            inside += w * (label[a] == label[b])
+    return inside, whole
+
+
+def language_vector(text, idf, slots, gram_tables):
+    """TF-IDF of hashed byte n-grams, byte by byte."""
+    low = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    raw = (" " + " ".join(low.split()) + " ").encode()
+    count = Counter()
+    for i in range(len(raw)):
+        h = 0
+        for n, table in enumerate(gram_tables):
+            if i + n >= len(raw):
+                break
+            h = (h * 0x01000193 + int(table[raw[i + n]])) & 0xFFFFFFFF
+            count[((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - slots.bit_length() + 1)] += 1
+    v = {k: math.log1p(c) * float(idf[k]) for k, c in count.items()}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / length for k, x in v.items()} if length and low.strip() else {}
