@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -500,3 +501,16 @@ def test_search_config_of_each_language(spark):
     want = dict(x.split(":") for x in "ar:arabic da:danish nl:dutch en:english fi:finnish fr:french de:german el:greek hu:hungarian id:indonesian it:italian ga:irish lt:lithuanian ne:nepali nb:norwegian no:norwegian pt:portuguese ro:romanian ru:russian es:spanish sv:swedish ta:tamil tr:turkish".split())
     rows = spark.createDataFrame([(c,) for c in [*want, "xx", "", None]], "lang string").select("lang", T.search_config(F.col("lang")).alias("config")).collect()
     assert len(want) == 23 and {r["lang"]: r["config"] for r in rows} == want | {"xx": "simple", "": "simple", None: "simple"}
+
+
+def exchanged(df):
+    """What the plan of `df` shuffles by."""
+    return {tuple(re.findall(r"(\w+)#", x)) for x in re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_answers_shuffle_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "PAIRS", 3)
+    rows = [(1, "a cat cat dog", ["The cat, cat!", "dog"]), (2, "", ["the"]), (3, "x", [""]), (4, None, ["x"]), (5, "x", [None, "x x"]), (6, "p q r", ["s"]), (6, "r q p", ["p r q z", "q"]), (7, "Q r", ["q R"])]
+    got = evaluate.answers(spark.createDataFrame(rows, "id int, pred string, golds array<string>"))
+    assert {r["id"]: (r["em"], r["f1"]) for r in got.collect()} == {1: (0, 0.8), 2: (1, 1.0), 3: (0, 0.0), 5: (0, 0.666667), 6: (0, 0.857143), 7: (1, 1.0)}
+    assert exchanged(got) == {("id",)}
