@@ -70,6 +70,23 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", analyzer:
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", repeated: DataFrame | None = None, analyzer: Analyzer = T.tokens) -> DataFrame:
+    """(term, sections, occurrences): in how many keys each term is, and how often.
+
+    A text's own terms are counted in its row, so rows are summed by term
+    before any shuffle.  That takes keys that one row has; of texts in
+    `repeated`, with the same columns, several may have the same key.
+    """
+    terms = docs.select(key, analyzer(F.col(text)).alias("terms"))
+    ways = F.array(F.struct("terms", F.lit(0).alias("own")), F.struct(F.array_distinct("terms").alias("terms"), F.col(key).isNotNull().cast("int").alias("own")))
+    each = terms.select(F.posexplode(ways).alias("way", "w")).select("way", "w.own", F.explode("w.terms").alias("term"))
+    out = each.groupBy("term").agg(F.sum("own").alias("sections"), F.sum(1 - F.col("way")).alias("occurrences"))
+    if repeated is None:
+        return out
+    rest = repeated.select(key, F.explode(analyzer(F.col(text))).alias("term")).groupBy("term").agg(F.countDistinct(key).alias("sections"), F.count("*").alias("occurrences"))
+    return out.unionByName(rest).groupBy("term").agg(F.sum("sections").alias("sections"), F.sum("occurrences").alias("occurrences"))
+
+
 def query_terms(queries: DataFrame, qid: str, text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
     return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(analyzer(F.col(text)))).alias("term"))
 

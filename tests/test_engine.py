@@ -514,3 +514,15 @@ def test_answers_shuffle_no_texts(spark, monkeypatch):
     got = evaluate.answers(spark.createDataFrame(rows, "id int, pred string, golds array<string>"))
     assert {r["id"]: (r["em"], r["f1"]) for r in got.collect()} == {1: (0, 0.8), 2: (1, 1.0), 3: (0, 0.0), 5: (0, 0.666667), 6: (0, 0.857143), 7: (1, 1.0)}
     assert exchanged(got) == {("id",)}
+
+
+def test_postings_shuffle_terms_alone(spark, tmp_path):
+    rows = [(1, "One two. Two three.\nThree.", "en", "a", 1), (2, "two two\n\nx", "en", "a", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = relations.postings_summary(spark, f"{tmp_path}/a")
+    assert {r["term"]: (r["sections"], r["occurrences"]) for r in got.collect()} == {"one": (3, 3), "two": (7, 12), "three": (5, 6), "x": (3, 3)}
+    assert exchanged(got) == {("term",)}
+    spark.createDataFrame([*rows, (2, "two\nx\ny", "en", "a", 1), (None, "y", "en", "a", 1)], kind).write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = relations.postings_summary(spark, f"{tmp_path}/b").collect()
+    assert {r["term"]: (r["sections"], r["occurrences"]) for r in got} == {"one": (3, 3), "two": (7, 15), "three": (5, 6), "x": (5, 6), "y": (3, 6)}
