@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.shared import saved_table
+from lodestone.shared import batches_of, saved_table
 
 K1, B = 1.2, 0.75
 #: (query, term) pairs up to which they are broadcast, at 24 bytes each.
 QUERY_TERMS = 2_000_000
+#: Texts of an Arrow batch, and words of it that are coded at once.
+TEXTS, WORDS = 1000, 500_000
 #: Meetings of a document's terms and queries that are scored at once.
-MEETINGS = 4_000_000
+MEETINGS = 500_000
+#: Scores that a task keeps to know which are among a query's k best so far; beyond, each block gives its own k best.
+KEPT = 2_000_000
 
 
 #: Text to an array of terms.  `analyzed` makes one of several languages' stemmers.
@@ -119,44 +123,53 @@ def _coded(docs: DataFrame, key: str, hashes: np.ndarray, text: str, analyzer: A
     """(key, len, codes, tf) of every text: the place in `hashes` of each of its terms that is there, and how often it comes."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("words")
-            size = np.diff(words.offsets.to_numpy())
-            h = words.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            known = hashes[at] == h
-            pair, tf = np.unique(doc[known] * np.int64(len(hashes)) + at[known], return_counts=True)
-            starts = np.searchsorted(pair // len(hashes), np.arange(len(size) + 1)).astype(np.int32)
-            lists = (pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int32))) for x in (pair % len(hashes), tf))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(size.astype(np.int32)), *lists], [key, "len", "codes", "tf"])
+        for whole in batches:
+            until = whole.column("words").offsets.to_numpy()
+            lo = 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(until, until[lo] + WORDS, "right")) - 1)
+                batch = whole.slice(lo, hi - lo)
+                size = np.diff(until[lo : hi + 1])
+                h = batch.column("words").flatten().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(len(size)), size)
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                known = hashes[at] == h
+                pair, tf = np.unique(doc[known] * np.int64(len(hashes)) + at[known], return_counts=True)
+                starts = np.searchsorted(pair // len(hashes), np.arange(len(size) + 1)).astype(np.int32)
+                lists = (pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int32))) for x in (pair % len(hashes), tf))
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(size.astype(np.int32)), *lists], [key, "len", "codes", "tf"])
+                lo = hi
 
     kind = docs.schema[key].dataType.simpleString()
     words = docs.select(key, F.transform(analyzer(F.col(text)), lambda w: F.xxhash64(w)).alias("words"))
     return words.mapInArrow(code, f"{key} {kind}, len int, codes array<int>, tf array<int>")
 
 
-def best(docs: DataFrame, queries: DataFrame, qid: str, k: int, key: str = "doc_id", only: DataFrame | None = None, text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
-    """(qid, key, len, terms, score, rank) of each query's k best documents by BM25; ties by key.
+def ranking(docs: DataFrame, queries: DataFrame, qid: str, key: str = "doc_id", text: str = "text", analyzer: Analyzer = T.tokens) -> Callable[..., DataFrame]:
+    """A function of (k, only, after) to what `best` returns; texts are coded once for all its calls.
 
-    With `only` (a table of keys) none but those are ranked, under the whole
-    corpus's statistics.  A document without a term of the query isn't ranked;
-    scores are rounded to 6 digits before they are compared.  Null texts and
-    queries have no terms.
+    Of the tables of keys, `only` goes below the scores and `after` is applied
+    to rankings of everything.
     """
     wanted = query_terms(queries, qid, analyzer=analyzer).withColumn("h", F.xxhash64("term"))
     asked = wanted.select("qid", "h").distinct().limit(QUERY_TERMS + 1).toArrow().combine_chunks()
     if asked.num_rows > QUERY_TERMS:
         scored = bm25(docs.select(key, F.col(text).alias("text")), queries, qid, key, analyzer)
-        return top(scored if only is None else scored.join(only, key, "left_semi"), k, key)
+
+        def joined(k: int, only: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+            rows = scored if only is None else scored.join(only, key, "left_semi")
+            return top(rows if after is None else rows.join(after, key, "left_semi"), k, key)
+
+        return joined
     qids = asked["qid"].combine_chunks().dictionary_encode() if asked.num_rows else pa.array([], asked.schema.field("qid").type).dictionary_encode()
     hashes, term = np.unique(asked["h"].to_numpy(), return_inverse=True)
     schema = f"qid {dict(wanted.dtypes)['qid']}, {key} {docs.schema[key].dataType.simpleString()}, len int, terms bigint, score double"
     if not len(hashes):
-        return top(docs.sparkSession.createDataFrame([], schema), k, key)
+        return lambda k, only=None, after=None: top(docs.sparkSession.createDataFrame([], schema), k, key)
     order = np.argsort(term, kind="stable")
     query, bounds = qids.indices.to_numpy()[order], np.searchsorted(term[order], np.arange(len(hashes) + 1))
-    coded = saved_table(_coded(docs, key, hashes, text, analyzer), "coded")
+    with batches_of(docs.sparkSession, TEXTS):
+        coded = saved_table(_coded(docs, key, hashes, text, analyzer), "coded")
     size = coded.agg(F.count("*"), F.avg("len")).first()
     df = np.zeros(len(hashes))
     for code, n in coded.select(F.explode("codes").alias("code")).groupBy("code").count().collect():
@@ -164,34 +177,59 @@ def best(docs: DataFrame, queries: DataFrame, qid: str, k: int, key: str = "doc_
     weight = np.maximum(0.0, np.log(1 + (size[0] - df + 0.5) / (df + 0.5)))
     sent = docs.sparkSession.sparkContext.broadcast((qids.dictionary, query, bounds, weight, size[1]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, query, bounds, weight, average = sent.value
-        many = np.diff(bounds)
-        for batch in batches:
-            codes, length = batch.column("codes"), batch.column("len").to_numpy()
-            starts = codes.offsets.to_numpy() - codes.offsets[0].as_py()
-            code, tf = codes.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
-            doc = np.repeat(np.arange(len(length)), np.diff(starts))
-            part = weight[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
-            meet = np.concatenate(([0], np.cumsum(many[code])))[starts] + np.arange(len(starts)) * len(names)
-            lo = 0
-            while lo < len(length):
-                hi = max(lo + 1, int(np.searchsorted(meet, meet[lo] + MEETINGS, "right")) - 1)
-                own = slice(starts[lo], starts[hi])
-                times = many[code[own]]
-                q = query[np.repeat(bounds[code[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-                spot = np.repeat(doc[own] - lo, times) * len(names) + q
-                shape = (hi - lo, len(names))
-                total = np.round(np.bincount(spot, np.repeat(part[own], times), shape[0] * shape[1]).astype(np.float64), 6).reshape(shape)
-                terms = np.bincount(spot, minlength=shape[0] * shape[1]).reshape(shape)
-                ranked = np.where(terms > 0, total, -1.0)
-                least = np.partition(ranked, max(0, shape[0] - k), axis=0)[max(0, shape[0] - k)]
-                d, q = np.nonzero((ranked >= least) & (terms > 0))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(key).take(pa.array(d + lo)), pa.array(length[d + lo]), pa.array(terms[d, q]), pa.array(total[d, q])], ["qid", key, "len", "terms", "score"])
-                lo = hi
+    def ranked(k: int, only: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, query, bounds, weight, average = sent.value
+            many = np.diff(bounds)
+            so_far = np.full((k, len(names)), -1.0) if k * len(names) <= KEPT else None
+            for batch in batches:
+                codes, length = batch.column("codes"), batch.column("len").to_numpy()
+                passed = batch.column("passed").to_numpy(zero_copy_only=False)
+                starts = codes.offsets.to_numpy() - codes.offsets[0].as_py()
+                code, tf = codes.flatten().to_numpy(), batch.column("tf").flatten().to_numpy()
+                meet = np.concatenate(([0], np.cumsum(many[code])))[starts] + np.arange(len(starts)) * len(names)
+                lo = 0
+                while lo < len(length):
+                    hi = max(lo + 1, int(np.searchsorted(meet, meet[lo] + MEETINGS, "right")) - 1)
+                    own = slice(starts[lo], starts[hi])
+                    doc = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+                    part = weight[code[own]] * tf[own] * (K1 + 1) / (tf[own] + K1 * (1 - B + B * length[lo:hi][doc] / average))
+                    times = many[code[own]]
+                    q = query[np.repeat(bounds[code[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                    spot = np.repeat(doc, times) * len(names) + q
+                    shape = (hi - lo, len(names))
+                    total = np.round(np.bincount(spot, np.repeat(part, times), shape[0] * shape[1]).astype(np.float64), 6).reshape(shape)
+                    terms = np.bincount(spot, minlength=shape[0] * shape[1]).reshape(shape)
+                    good = (terms > 0) & passed[lo:hi, None]
+                    placed = np.where(good, total, -1.0)
+                    if so_far is None:
+                        least = np.partition(placed, max(0, shape[0] - k), axis=0)[max(0, shape[0] - k)]
+                    else:
+                        so_far = np.partition(np.concatenate((so_far, placed)), shape[0], axis=0)[shape[0] :]
+                        least = so_far[0]
+                    d, q = np.nonzero((placed >= least) & good)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(key).take(pa.array(d + lo)), pa.array(length[d + lo]), pa.array(terms[d, q]), pa.array(total[d, q])], ["qid", key, "len", "terms", "score"])
+                    lo = hi
+
+        rows = coded if only is None else coded.join(only.select(key), key, "left_semi")
+        if after is None:
+            rows = rows.withColumn("passed", F.lit(True))
+        else:
+            rows = rows.join(after.select(key, F.lit(True).alias("passed")).distinct(), key, "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
+        return top(rows.select(key, "len", "codes", "tf", "passed").mapInArrow(score, schema), k, key)
+
+    return ranked
+
+
+def best(docs: DataFrame, queries: DataFrame, qid: str, k: int, key: str = "doc_id", only: DataFrame | None = None, text: str = "text", analyzer: Analyzer = T.tokens) -> DataFrame:
+    """(qid, key, len, terms, score, rank) of each query's k best documents by BM25; ties by key.
 
-    ranked = coded if only is None else coded.join(only.select(key), key, "left_semi")
-    return top(ranked.mapInArrow(score, schema), k, key)
+    With `only` (a table of keys) none but those are ranked, under the whole
+    corpus's statistics.  A document without a term of the query isn't ranked;
+    scores are rounded to 6 digits before they are compared.  Null texts and
+    queries have no terms.
+    """
+    return ranking(docs, queries, qid, key, text, analyzer)(k, only)
 
 
 def top(scored: DataFrame, k: int, *tie: str, by: str = "score", ascending: bool = False) -> DataFrame:

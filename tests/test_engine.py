@@ -13,6 +13,7 @@ from lodestone.facade import PROFILES, Config, Engine
 from lodestone.functions import text as T
 from lodestone.operators import evaluate, filters, fusion, lexical, orchestrate, paging, parse, rerank, store, vector
 from lodestone.operators.filters import Condition
+from lodestone.plans import ranking as plans_ranking
 from lodestone.plans import relations
 from lodestone.sources import files
 from lodestone.streaming import sync
@@ -526,3 +527,41 @@ def test_postings_shuffle_terms_alone(spark, tmp_path):
     spark.createDataFrame([*rows, (2, "two\nx\ny", "en", "a", 1), (None, "y", "en", "a", 1)], kind).write.parquet(f"{tmp_path}/b/documents.parquet")
     got = relations.postings_summary(spark, f"{tmp_path}/b").collect()
     assert {r["term"]: (r["sections"], r["occurrences"]) for r in got} == {"one": (3, 3), "two": (7, 15), "three": (5, 6), "x": (5, 6), "y": (3, 6)}
+
+
+def test_best_in_small_batches(spark, sf_dir, monkeypatch):
+    docs, asked = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    name, seen, save = "spark.sql.execution.arrow.maxRecordsPerBatch", [], lexical.saved_table
+    monkeypatch.setattr(lexical, "saved_table", lambda df, n: seen.append(int(spark.conf.get(name))) or save(df, n))
+    before = spark.conf.get(name)
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(lexical.best(docs, asked, "item_id", 7))
+    assert max(seen) <= 1000 and spark.conf.get(name) == before
+    for kept in (0, 1 << 20):
+        monkeypatch.setattr(lexical, "KEPT", kept)
+        monkeypatch.setattr(lexical, "MEETINGS", 3000)
+        monkeypatch.setattr(lexical, "WORDS", 500)
+        assert plain(lexical.best(docs, asked, "item_id", 7)) == want
+
+
+def test_filter_after_ranking(spark, sf_dir, monkeypatch):
+    docs, asked = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    ok = docs.where("doc_id % 3 = 0").select("doc_id")
+    plain = lambda df: sorted(map(tuple, df.select("qid", "doc_id", "len", "terms", "score", "rank").collect()))
+    ranked = lexical.ranking(docs, asked, "item_id")
+    want = plain(ranked(5, only=ok))
+    assert want and plain(ranked(5, after=ok.unionByName(ok))) == want
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 3)
+    assert plain(lexical.ranking(docs, asked, "item_id")(5, after=ok)) == want
+
+
+def test_parity_shuffles_no_postings(spark, sf_dir):
+    got = plans_ranking.pushdown_parity(spark, sf_dir)
+    assert {r["differing"] for r in got.collect()} == {0} and not any("term" in x for x in exchanged(got))
+
+
+def test_qrels_once_and_without_texts(spark, sf_dir, monkeypatch):
+    calls, qrels = [], plans_ranking._qrels
+    monkeypatch.setattr(plans_ranking, "_qrels", lambda *a: calls.append(qrels(*a)) or calls[-1])
+    assert plans_ranking.metrics_by_lang(spark, sf_dir).count() and len(calls) == 1
+    assert "Generate" not in calls[0]._jdf.queryExecution().executedPlan().toString()
