@@ -1,8 +1,10 @@
 """Exact nearest neighbours for all queries at once, and the operations around them.
 
-Vectors are packed into blocks; every pair of a query block and a vector block
-is one matrix product, which leaves each query's k best of that block.  Only
-those are shuffled.
+Vectors are packed into blocks.  A task takes blocks of queries, each past the
+vectors' blocks of one part, and keeps each query's k best so far; one matrix
+product of single precision gives a lower bound of all distances of two blocks,
+and only what may still be among the k best is measured in full.  Each part's k
+best are shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import batches_of, saved_table
+
 #: Vectors of a block.
 BLOCK = 2048
+#: Blocks of vectors that a query block passes in one task, which the JVM holds; pairs of blocks of an Arrow batch; blocks that are cut into groups together.
+PART, PAIRS, CUT = 256, 16, 16
 
 
 def normalise(v: Column, size: int) -> Column:
@@ -31,32 +37,36 @@ def quantise(v: Column) -> Column:
 
 
 def _packed(vectors: DataFrame, vec_id: str, vec: str, group: str | None, prefix: str) -> DataFrame:
+    single = vectors.schema[vec].dataType.simpleString() == "array<float>"
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        ids, groups = batch.column("id").to_numpy(), batch.column("grp").dictionary_encode()
+        code = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        for c in np.unique(code).tolist():
+            own = np.flatnonzero(code == c)
+            name = None if c < 0 else groups.dictionary[c].as_py()
+            for at in range(0, len(own), BLOCK):
+                part = own[at : at + BLOCK]
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([name], pa.string()), "ids": pa.array([ids[part].tobytes()]), "flat": pa.array([flat[part].tobytes()])})
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, groups = batch.column("id").to_numpy(), batch.column("grp").dictionary_encode()
-            code = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            for c in np.unique(code).tolist():
-                own = np.flatnonzero(code == c)
-                name = None if c < 0 else groups.dictionary[c].as_py()
-                for at in range(0, len(own), BLOCK):
-                    part = own[at : at + BLOCK]
-                    yield pa.RecordBatch.from_pydict({"grp": pa.array([name], pa.string()), "ids": pa.array([ids[part].tobytes()]), "flat": pa.array([flat[part].tobytes()])})
-
-    slim = vectors.select(F.col(vec_id).cast("bigint").alias("id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), F.col(vec).cast("array<double>").alias("vec"))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= CUT * BLOCK:
+                yield from blocks(held)
+                held = []
+        if held:
+            yield from blocks(held)
+
+    slim = vectors.select(F.col(vec_id).cast("bigint").alias("id"), (F.col(group) if group else F.lit("")).cast("string").alias("grp"), F.col(vec).cast(f"array<{'float' if single else 'double'}>").alias("vec"))
     slim = slim.where("vec is not null and id is not null and not exists(vec, x -> x is null)")
-    return slim.mapInArrow(pack, "grp string, ids binary, flat binary").select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("grp", "ids", "flat")))
-
-
-def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T, 0))
-    if metric == "cosine":
-        return 1 - (q @ v.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-300)
-    a, b = (q > 0).astype(np.float64), (v > 0).astype(np.float64)
-    return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * a @ b.T
+    with batches_of(vectors.sparkSession, BLOCK):
+        packed = slim.mapInArrow(pack, "grp string, ids binary, flat binary").withColumns({"no": F.monotonically_increasing_id(), "single": F.lit(single)})
+        return saved_table(packed.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("grp", "ids", "flat", "no", "single"))), "blocks")
 
 
 def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -68,22 +78,106 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return ((a > 0) != (b > 0)).sum(1).astype(np.float64)
 
 
-def _nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, skip: np.ndarray | None, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of v, distance) of each query's k nearest; ties by id.
+class _Nearest:
+    """The k nearest so far of each query of a block; ties by id.  With `also`, that distance is taken beside."""
+
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, k: int, metric: str, also: str | None) -> None:
+        self.ids, self.flat, self.k, self.metric, self.also = ids, flat, k, metric, also
+        whole = flat[np.isfinite(flat).all(1)] if metric == "l2" else flat[:0]
+        self.shift = whole.mean(0) if len(whole) else np.zeros(flat.shape[1])
+        self.own = self._terms(flat)
+        self.worst = np.full(len(ids), np.inf)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def _terms(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors whose squared distances order as the metric does, and their squared lengths."""
+        if self.metric == "l2":
+            y = x - self.shift
+            return y, (y * y).sum(1)
+        y = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] if self.metric == "cosine" else np.where(x > 0, 1.0, -1.0)
+        return y, np.full(len(x), 1.0 if self.metric == "cosine" else float(x.shape[1]))
+
+    def _least(self, v: np.ndarray) -> np.ndarray:
+        """Lower bounds of squared distances: what rounding may add to them is taken off."""
+        (a, n), (b, m) = self.own, self._terms(v)
+        largest = max((float(np.abs(x[np.isfinite(x)]).max(initial=0)) for x in (a, b)), default=0)
+        kind = np.float32 if largest < 1e15 else np.float64
+        slack = 4 * (a.shape[1] + 20) * float(np.finfo(kind).eps)
+        left = np.concatenate((-2 * a, np.ones((len(a), 1)), n[:, None] * (1 - slack)), 1).astype(kind)
+        right = np.concatenate((b, m[:, None] * (1 - slack), np.ones((len(b), 1))), 1).astype(kind)
+        return left @ right.T
+
+    def _measured(self, row: np.ndarray, col: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+        step = max(1, (8 << 20) // (8 * v.shape[1]))
+        return np.concatenate([_exact(self.flat[row[i : i + step]], v[col[i : i + step]], metric) for i in range(0, len(row), step)] or [np.zeros(0)])
+
+    def add(self, ids: np.ndarray, v: np.ndarray, not_self: bool) -> None:
+        least = self._least(v)
+        if not_self and len(np.intersect1d(self.ids, ids)):
+            least[self.ids[:, None] == ids[None, :]] = np.nan
+        new = np.flatnonzero(np.isinf(self.worst))
+        if len(new) and len(ids) > self.k:
+            pick = np.argpartition(least[new], self.k - 1, axis=1)[:, : self.k]
+            there = np.isfinite(np.take_along_axis(least[new], pick, 1)).all(1)
+            new, pick = new[there], pick[there]
+            far = self._measured(np.repeat(new, self.k), pick.ravel(), v, self.metric).reshape(-1, self.k).max(1, initial=0)
+            self.worst[new] = np.where(np.isfinite(far), far, np.inf)
+        bound = {"l2": self.worst**2, "cosine": 2 * self.worst + 1e-9, "hamming": 4 * self.worst}[self.metric] * (1 + 1e-9)
+        row, col = np.divmod(np.flatnonzero(least <= np.nextafter(bound.astype(least.dtype), np.inf, dtype=least.dtype)[:, None]), len(ids))
+        near = self._measured(row, col, v, self.metric)
+        keep = np.isfinite(near) & (near <= self.worst[row])
+        row, col, near = row[keep], col[keep], near[keep]
+        self.found.append((row, ids[col], near, self._measured(row, col, v, self.also) if self.also else near))
+        self.waiting += len(row)
+        if self.waiting >= len(self.ids) * self.k:
+            self._settle()
+
+    def _settle(self) -> None:
+        row, ids, near, also = (np.concatenate(x) for x in zip(*self.found))
+        by = np.lexsort((ids, near, row))
+        row, ids, near, also = row[by], ids[by], near[by], also[by]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.worst[row[last]] = near[last]
+        self.found, self.waiting = [tuple(x[place < self.k] for x in (row, ids, near, also))], 0
+
+    def rows(self, group: str | None) -> pa.RecordBatch:
+        self._settle()
+        row, ids, near, also = self.found[0]
+        return pa.RecordBatch.from_pydict({"qid": pa.array(self.ids[row]), "vec_id": pa.array(ids), "distance": pa.array(near), "also": pa.array(also), "grp": pa.array([group] * len(row), pa.string())})
+
+
+def _found(queries: DataFrame, vectors: DataFrame, k: int, metric: str, qid: str, vec_id: str, vec: str, per_group: str | None, not_self: bool, also: str | None = None) -> DataFrame:
+    """(qid, vec_id, distance, also, grp): each query's k nearest of each part of the vectors, or k of each group there."""
 
-    The matrix product picks all that may be among them, and their distances are then taken one by one.
-    """
-    d = _distances(q, v, metric)
-    if skip is not None:
-        d[skip] = np.inf
-    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-    row, col = np.nonzero((d <= kth[:, None] + 1e-5 * (1 + np.abs(kth[:, None]))) & np.isfinite(d))
-    step = max(1, (64 << 20) // (8 * q.shape[1]))
-    near = np.concatenate([_exact(q[row[i : i + step]], v[col[i : i + step]], metric) for i in range(0, len(row), step)] or [np.zeros(0)])
-    by = np.lexsort((ids[col], near, row))
-    row, col, near = row[by], col[by], near[by]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], col[place < k], near[place < k]
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+
+                def raw(c: str, i: int = i, batch: pa.RecordBatch = batch) -> np.ndarray:
+                    kind = np.int64 if c.endswith("ids") else np.float32 if batch.column(f"{c[0]}_single")[i].as_py() else np.float64
+                    return np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+
+                now = batch.column("q_no")[i].as_py(), batch.column("v_grp")[i].as_py()
+                if now != at:
+                    if held:
+                        yield held.rows(at[1])
+                    qi = raw("q_ids").copy()
+                    at, held = now, _Nearest(qi, raw("q_flat").reshape(len(qi), -1).astype(np.float64), k, metric, also)
+                vi = raw("v_ids")
+                held.add(vi, raw("v_flat").reshape(len(vi), -1).astype(np.float64), not_self)
+        if held:
+            yield held.rows(at[1])
+
+    spark = queries.sparkSession
+    asked, there = _packed(queries, qid, vec, None, "q"), _packed(vectors, vec_id, vec, per_group, "v")
+    n, m = asked.count(), there.count()
+    asked = asked.repartition(max(1, min(n, 8 * spark.sparkContext.defaultParallelism)))
+    there = saved_table(there.repartition(max(1, -(-m // PART))).sortWithinPartitions("v_grp"), "blocks")
+    with batches_of(spark, PAIRS):
+        return saved_table(asked.join(there.hint("shuffle_replicate_nl")).mapInArrow(best, "qid long, vec_id long, distance double, also double, grp string"), "nearest")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", qid: str = "vec_id", vec_id: str = "vec_id", vec: str = "embedding", per_group: str | None = None, not_self: bool = True, digits: int = 4) -> DataFrame:
@@ -94,18 +188,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", qid:
     `digits`.  Null ids, and vectors that are null or have a null in them, take
     no part.
     """
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = lambda c: np.frombuffer(batch.column(c)[i].as_buffer(), np.int64 if c.endswith("ids") else np.float64)  # noqa: B023, E731
-                qi, vi = raw("q_ids"), raw("v_ids")
-                q, v = raw("q_flat").reshape(len(qi), -1), raw("v_flat").reshape(len(vi), -1)
-                row, col, near = _nearest(q, v, vi, qi[:, None] == vi[None, :] if not_self else None, k, metric)
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(qi[row]), "vec_id": pa.array(vi[col]), "distance": pa.array(near), "grp": pa.array([batch.column("v_grp")[i].as_py()] * len(row), pa.string())})
-
-    pairs = _packed(queries, qid, vec, None, "q").crossJoin(_packed(vectors, vec_id, vec, per_group, "v"))
-    found = pairs.mapInArrow(best, "qid long, vec_id long, distance double, grp string")
+    found = _found(queries, vectors, k, metric, qid, vec_id, vec, per_group, not_self).drop("also")
     keys = ["qid", "grp"] if per_group else ["qid"]
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     out = out.withColumn("distance", F.round("distance", digits) + 0.0)
@@ -114,12 +197,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", qid:
 
 def coarse(queries: DataFrame, vectors: DataFrame, k: int, widen: int = 8, vec_id: str = "vec_id", vec: str = "embedding", digits: int = 4) -> DataFrame:
     """Two stages: k*widen by Hamming distance of sign bits, then the k nearest of those by L2."""
-    first = knn(queries, vectors, k * widen, "hamming").select("qid", "vec_id")
-    a = queries.select(F.col(vec_id).alias("qid"), F.col(vec).cast("array<double>").alias("a"))
-    b = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("b"))
-    square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    scored = first.join(a, "qid").join(b, "vec_id").select("qid", "vec_id", F.sqrt(square).alias("distance"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    by = Window.partitionBy("qid")
+    first = _found(queries, vectors, k * widen, "hamming", vec_id, vec_id, vec, None, True, also="l2").withColumn("place", F.row_number().over(by.orderBy("distance", "vec_id"))).where(F.col("place") <= k * widen)
+    best = first.select("qid", "vec_id", F.col("also").alias("distance")).withColumn("rank", F.row_number().over(by.orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return best.withColumn("distance", F.round("distance", digits))
 
 

@@ -565,3 +565,34 @@ def test_qrels_once_and_without_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plans_ranking, "_qrels", lambda *a: calls.append(qrels(*a)) or calls[-1])
     assert plans_ranking.metrics_by_lang(spark, sf_dir).count() and len(calls) == 1
     assert "Generate" not in calls[0]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_knn_in_parts(spark, monkeypatch, kind):
+    seen, save = [], vector.saved_table
+    monkeypatch.setattr(vector, "saved_table", lambda df, n: seen.append((n, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))) or save(df, n))
+    for name, n in (("BLOCK", 7), ("PART", 2), ("CUT", 2), ("PAIRS", 3)):
+        monkeypatch.setattr(vector, name, n)
+    r = np.random.default_rng(3)
+    v = np.concatenate((r.integers(-2, 3, (50, 6)), r.normal(0, 1, (50, 6)), r.normal(1e4, 1e-2, (20, 6)), [[1e18] * 6, [np.nan, *[1.0] * 5]])).astype(np.float32 if kind == "float" else float).astype(float)
+    v[(v == 0).all(1)] = 1
+    df = spark.createDataFrame([(i, x.tolist(), int(i % 3)) for i, x in enumerate(v)] + [(200, None, 1)], f"vec_id long, embedding array<{kind}>, label int").repartition(4)
+    sound, n = range(len(v) - 1), np.linalg.norm(v, axis=1)
+    d = {"l2": np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)), "hamming": ((v > 0)[:, None] != (v > 0)[None]).sum(-1), "cosine": 1 - (v @ v.T) / n[:, None] / n[None]}
+    for metric, per_group in (("l2", None), ("hamming", None), ("l2", "label"), ("hamming", "label")):
+        got = {}
+        for x in vector.knn(df, df.where(f"vec_id != {len(v) - 1}"), 5, metric, per_group=per_group).collect():
+            got.setdefault((x["qid"], x["grp"] if per_group else None), {})[x["rank"]] = x["vec_id"]
+        for i in sound:
+            for g in ("0", "1", "2") if per_group else (None,):
+                want = sorted((float(d[metric][i, j]), j) for j in sound if j != i and g in (None, str(j % 3)))[:5]
+                assert [got[i, g][k] for k in range(1, 6)] == [j for _, j in want], (metric, i, g)
+    for x in vector.knn(df, df, 5, "cosine", digits=9).where(f"qid != {len(v) - 1}").collect():
+        assert abs(x["distance"] - sorted(d["cosine"][x["qid"], j] for j in sound if j != x["qid"])[x["rank"] - 1]) < 1e-7
+    assert all(rows <= (3 if n == "nearest" else 1 << 14) for n, rows in seen) and ("nearest", 3) in seen
+
+
+def test_coarse_joins_no_vectors(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = vector.coarse(e, e, 5)
+    assert got.count() and "Join" not in got._jdf.queryExecution().executedPlan().toString() and exchanged(got) == {("qid",)}
