@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,19 +138,29 @@ def _first_most(counts: dict[str, Column]) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Stop words, and the languages that each belongs to.
+_ALL_STOPWORDS = sorted({w for words in STOPWORDS.values() for w in words})
+
+
 def _vote(words: Column) -> Column:
     """The language most of whose stop words are among `words`, the first in order of name; null without any."""
     among = lambda stop: lambda w: w.isin(*stop)
-    return _first_most({lang: F.size(F.filter(words, among(stop))) for lang, stop in STOPWORDS.items()})
+    counted = lambda few: F.struct(*(F.size(F.filter(few, among(stop))).alias(lang) for lang, stop in STOPWORDS.items()))
+    return _once(F.filter(words, among(_ALL_STOPWORDS)), lambda few: _once(counted(few), lambda n: _first_most({lang: n[lang] for lang in STOPWORDS})))
 
 
 def guess_language(text: Column) -> Column:
     """The language of most bytes of the text, its segments judged one by one by their stop words, the first in order of name; if no segment has any, that of the text as a whole, or null."""
-    split = F.transform(segments(text), lambda s: F.struct(tokens(s).alias("words"), F.octet_length(s).alias("bytes")))
-    judged = F.transform(split, lambda s: F.struct(_vote(s["words"]).alias("lang"), s["bytes"].alias("bytes")))
+    judged = F.transform(segments(text), lambda s: F.struct(_vote(tokens(s)).alias("lang"), F.octet_length(s).alias("bytes")))
     of = lambda lang: lambda s: s["lang"] == lang
-    volume = {lang: F.aggregate(F.filter(judged, of(lang)), F.lit(0), lambda n, s: n + s["bytes"]) for lang in STOPWORDS}
-    return F.coalesce(_first_most(volume), _vote(tokens(text)))
+    volume = lambda j: F.struct(*(F.aggregate(F.filter(j, of(lang)), F.lit(0), lambda n, s: n + s["bytes"]).alias(lang) for lang in STOPWORDS))
+    won = lambda n: _first_most({lang: n[lang] for lang in STOPWORDS})
+    return F.coalesce(_once(judged, lambda j: _once(volume(j), won)), _vote(tokens(text)))
 
 
 def front_matter(markdown: Column) -> tuple[Column, Column]:

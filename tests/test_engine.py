@@ -596,3 +596,9 @@ def test_coarse_joins_no_vectors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     got = vector.coarse(e, e, 5)
     assert got.count() and "Join" not in got._jdf.queryExecution().executedPlan().toString() and exchanged(got) == {("qid",)}
+
+
+def test_language_reads_words_once(spark):
+    """The text's segments are split into words at one place, and the whole text at another."""
+    df = spark.createDataFrame([("x",)], "t string").select(T.guess_language(F.col("t")).alias("g"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
