@@ -43,38 +43,131 @@ SUB = 4096
 #: Words of an n-gram, and neighbouring n-grams of which one is taken: runs of GRAM + SPAN - 1 words are links.
 GRAM, SPAN = 16, 17
 
+#: Shards up to which a link's counts are columns.
+WIDE = 32
+#: Units gathered in a task before they are sent off in packets, and units for which a bucket is planned, at CHARS characters of text each.
+FLUSH, PER_BUCKET, CHARS = 1_000_000, 500_000, 40
+
 UNITS = pa.schema([("doc_id", pa.int64()), ("link", pa.int64())])
+_SENT = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("links", pa.binary()), ("known", pa.binary())])
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Winnowed n-grams and the whole text of rows (doc_id, norm, whole), each once a row."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Doc ids and units of rows (doc_id, norm, whole, sentences): sentences, winnowed n-grams and the whole text; FLUSH of them or so at once."""
+    docs, units, waiting = [], [], 0
     for batch in batches:
         for part in G.pieces(batch):
             h, text = G.winnowed(*G.grams(*G.words(part.column("norm")), GRAM), SPAN)
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-            whole = part.column("whole")
+            whole, sentences = part.column("whole"), part.column("sentences")
             full = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))
-            text, unit = np.concatenate((text, full)), np.concatenate((h.view(np.int64), whole.drop_null().to_numpy()))
-            by = np.lexsort((unit, text))
-            text, unit = text[by], unit[by]
-            new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (unit[1:] != unit[:-1])
-            yield pa.record_batch([pa.array(doc[text[new]]), pa.array(unit[new])], schema=UNITS)
+            many = np.repeat(np.arange(len(doc)), np.diff(sentences.offsets.to_numpy()))
+            text, unit = np.concatenate((text, full, many)), np.concatenate((h.view(np.int64), whole.drop_null().to_numpy(), sentences.flatten().to_numpy()))
+            docs.append(doc[text]), units.append(unit)
+            waiting += len(units[-1])
+            if waiting >= FLUSH:
+                yield np.concatenate(docs), np.concatenate(units)
+                docs, units, waiting = [], [], 0
+        G.give_back()
+    if waiting:
+        yield np.concatenate(docs), np.concatenate(units)
+    G.give_back(True)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the key."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _once(doc: np.ndarray, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows by key, those of one document and key once."""
+    by = np.argsort(key)
+    ranked = key[by]
+    same = np.zeros(len(by), bool)
+    same[1:] = ranked[1:] == ranked[:-1]
+    twice = same.copy()
+    twice[:-1] |= same[1:]
+    few = by[twice]  # only keys that come again need their documents in order
+    by[twice] = few = few[np.lexsort((doc[few], key[few]))]
+    again = np.zeros(len(few), bool)
+    again[1:] = (key[few[1:]] == key[few[:-1]]) & (doc[few[1:]] == doc[few[:-1]])
+    drop = np.zeros(len(by), bool)
+    drop[np.flatnonzero(twice)[again]] = True
+    by = by[~drop]
+    return doc[by], unit[by], key[by]
+
+
+def _runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: where each begins, how many rows it has, and whether they are of several documents."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+    return first, np.diff(np.append(first, len(key))), several
+
+
+def _packets(buckets: int):
+    """Units as packets: those that several of the gathered documents have are links already (buckets below 0) and go to their bucket once, without a document; the others go there to be compared."""
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, unit in _units(batches):
+            doc, unit, key = _once(doc, unit, G.mix(unit.view(np.uint64)))
+            first, size, several = _runs(doc, key)
+            shared = np.repeat(several, size)
+            known, known_key = unit[first[several]], key[first[several]]
+            rows = {"bucket": [-1 - int(key[0] % np.uint64(buckets))], "docs": [doc[shared].tobytes()], "links": [unit[shared].tobytes()], "known": [b""]}
+            doc, unit, key = doc[~shared], unit[~shared], key[~shared]
+            every = np.arange(buckets + 1, dtype=np.uint64)
+            cut, known_cut = (np.searchsorted(_bucket(k, buckets), every) for k in (key, known_key))
+            for b in np.flatnonzero(np.diff(cut) + np.diff(known_cut)).tolist():
+                own = slice(cut[b], cut[b + 1])
+                for name, value in (("bucket", b), ("docs", doc[own].tobytes()), ("links", unit[own].tobytes()), ("known", known[known_cut[b] : known_cut[b + 1]].tobytes())):
+                    rows[name].append(value)
+            del key, shared
+            yield pa.RecordBatch.from_pydict(rows, schema=_SENT)
+            del doc, unit, known, rows
+            G.give_back()
+
+    return packets
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """(doc_id, link) of a bucket's units that several documents have."""
+    doc, link, known = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("docs", "links", "known"))
+    if table["bucket"][0].as_py() >= 0:
+        by = np.argsort(link)
+        doc, link = doc[by], link[by]
+        first, size, several = _runs(doc, link)
+        keep = np.repeat(several | np.isin(link[first], known), size)
+        doc, link = doc[keep], link[keep]
         G.give_back()
+    return pa.table([doc, link], schema=UNITS)
+
+
+def _chars(docs: DataFrame) -> int:
+    """Characters of the texts, to plan buckets by: three a byte of the files that are read, or counted where there are none."""
+    files = docs.inputFiles()
+    if not files:
+        return docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    context = docs.sparkSession.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return 3 * sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
 
 
 def links(docs: DataFrame, least: int = 40) -> DataFrame:
     """(doc_id, link, weight, k): sentences of `least` characters or more, winnowed n-grams and whole texts that several documents share."""
     small_batches(docs.sparkSession)
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sentence = F.filter(F.transform(F.split("text", r"[.!?\n\r]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
-    sentences = slim.select("doc_id", F.explode(F.array_distinct(F.transform(sentence, lambda s: F.xxhash64(s)))).alias("link"))
-    norm = slim.where(r"text rlike '\\S'").select("doc_id", "text", G.normalised(F.col("text")).alias("norm"))
-    whole = F.when(F.col("norm") != "", F.xxhash64("norm")).otherwise(F.xxhash64("text"))
-    units = norm.select("doc_id", "norm", whole.alias("whole")).mapInArrow(_units, "doc_id bigint, link bigint")
-    has = sentences.unionByName(units)
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    long = lambda s: F.length(s) >= least
+    sentence = F.filter(F.transform(F.filter(F.split("text", r"[.!?\n\r]+"), long), lambda s: F.trim(s)), long)
+    norm = slim.select("doc_id", "text", F.when(F.expr(r"text rlike '\\S'"), G.normalised(F.col("text"))).alias("norm"), F.transform(sentence, lambda s: F.xxhash64(s)).alias("sentences"))
+    whole = F.when(F.col("norm") != "", F.xxhash64("norm")).when(F.col("norm") == "", F.xxhash64("text"))
+    buckets = max(4, math.ceil(_chars(slim) / CHARS / PER_BUCKET))
+    sent = norm.select("doc_id", "norm", whole.alias("whole"), "sentences").mapInArrow(_packets(buckets), "bucket long, docs binary, links binary, known binary")
+    has = sent.groupBy("bucket").applyInArrow(_common, "doc_id bigint, link bigint")
     twice = repeated_ids(slim)
     if twice is not None:  # several rows of one document may have the same unit; documents of one row can't
+        has = saved(has, "shard-rows")
         has = semi(has, twice, "left_anti").unionByName(semi(has, twice).distinct())
     has = saved(has, "shard-units")
     by = has.groupBy("link").agg(F.count("*").alias("k"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("sig"), F.bit_xor(F.xxhash64(F.col("doc_id") + 1)).alias("sig2")).where("k > 1")
@@ -150,6 +243,23 @@ def _granted(wish: DataFrame, quota: dict[tuple[int, int], int]) -> DataFrame:
     return met.where("bin < last or (bin = last and sub < upto)").select("doc_id", "to")
 
 
+def _wishes(own: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, size, own, to, gain) of documents for which another shard has more weight than their own.
+
+    Up to WIDE shards a link's counts are columns, so that a link with documents
+    in every shard makes one row a document, not one a document and shard.
+    """
+    if shards <= WIDE:
+        count = own.groupBy("link").agg(*(F.expr(f"sum(if(own = {s}, size, 0L)) as c{s}") for s in range(shards)))
+        score = own.join(count, "link").groupBy("doc_id", "size", "own").agg(*(F.expr(f"round(sum(weight * (c{s} - if(own = {s}, size, 0L))), 9) as s{s}") for s in range(shards)))
+        rows = score.select("doc_id", "size", "own", F.expr(f"array_max(array({', '.join(f'struct(s{s} as score, own = {s} as stay, {-s} as neg)' for s in range(shards))})) as best"), F.expr(f"element_at(array({', '.join(f's{s}' for s in range(shards))}), own + 1) as now"))
+    else:
+        count = own.groupBy("link", F.col("own").alias("shard")).agg(F.sum("size").alias("c"))
+        score = own.join(count, "link").groupBy("doc_id", "size", "own", "shard").agg(F.sum(F.col("weight") * (F.col("c") - F.when(F.col("shard") == F.col("own"), F.col("size")).otherwise(0))).alias("score"))
+        rows = score.groupBy("doc_id", "size", "own").agg(F.max(F.struct(F.round("score", 9).alias("score"), (F.col("shard") == F.col("own")).alias("stay"), (-F.col("shard")).alias("neg"))).alias("best"), F.max(F.when(F.col("shard") == F.col("own"), F.round("score", 9))).alias("now"))
+    return rows.where("not best.stay").select("doc_id", "size", "own", (-F.col("best.neg")).alias("to"), (F.col("best.score") - F.coalesce("now", F.lit(0.0))).alias("gain")).where("gain > 0")
+
+
 def _fill(nodes: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc_id, size) placed in shards, by number, so that all shards end as even as they can."""
     spark = nodes.sparkSession
@@ -224,10 +334,7 @@ def assignment(docs: DataFrame, shards: int = 16, rounds: int = 50, slack: float
     dropped(link)
     lowest, stalled = math.inf, 0
     for number in range(rounds):
-        count = own.groupBy("link", F.col("own").alias("shard")).agg(F.sum("size").alias("c"))
-        score = own.join(count, "link").groupBy("doc_id", "size", "own", "shard").agg(F.sum(F.col("weight") * (F.col("c") - F.when(F.col("shard") == F.col("own"), F.col("size")).otherwise(0))).alias("score"))
-        best = score.groupBy("doc_id", "size", "own").agg(F.max(F.struct(F.round("score", 9).alias("score"), (F.col("shard") == F.col("own")).alias("stay"), (-F.col("shard")).alias("neg"))).alias("best"), F.max(F.when(F.col("shard") == F.col("own"), F.round("score", 9))).alias("now"))
-        wish = saved(best.where("not best.stay").select("doc_id", "size", "own", (-F.col("best.neg")).alias("to"), (F.col("best.score") - F.coalesce("now", F.lit(0.0))).alias("gain")).where("gain > 0"), "shard-wishes")
+        wish = saved(_wishes(own, shards), "shard-wishes")
         acts = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(2)) == 0
         rows = wish.groupBy("own", "to").agg(F.sum(F.when(acts, F.col("size"))).alias("now"), F.sum("gain").alias("gain")).collect()
         gain = sum(r.gain for r in rows)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,41 @@ def test_sharding_awkward(odd, none):
         sharding.assignment(none, shards=0)
 
 
+def test_sharding_packets_find_every_shared_unit_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    doc, unit = rng.integers(0, 300, 6000), np.concatenate((rng.integers(0, 5, 1000), rng.integers(0, 4000, 5000)))
+    cuts = [(at, at + 700) for at in range(0, 6000, 700)]
+    monkeypatch.setattr(sharding, "_units", lambda parts: ((doc[a:b], unit[a:b]) for a, b in parts))
+    sent = pa.Table.from_batches(sharding._packets(4)(cuts))
+    found = pa.concat_tables([sharding._common(sent.filter(pc.equal(sent["bucket"], b))) for b in set(sent["bucket"].to_pylist())]).to_pylist()
+    has = {}
+    for d, u in zip(doc.tolist(), unit.tolist()):
+        has.setdefault(u, set()).add(d)
+    assert {(r["doc_id"], r["link"]) for r in found} == {(d, u) for u, ds in has.items() if len(ds) > 1 for d in ds}
+    for a, b in cuts:  # what one packet has of a document and unit comes once
+        d, u, _ = sharding._once(doc[a:b], unit[a:b], unit[a:b].view(np.uint64))
+        assert sorted(zip(d.tolist(), u.tolist())) == sorted(set(zip(doc[a:b].tolist(), unit[a:b].tolist())))
+
+
+def test_sharding_wishes_need_no_row_a_shard(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shard, size = rng.integers(0, 6, 60).tolist(), rng.integers(1, 3, 60).tolist()
+    pairs = sorted({(int(d), int(u)) for d, u in zip(rng.integers(0, 60, 400), rng.integers(0, 40, 400))})
+    own = spark.createDataFrame([(d, u, 1.0 / (u + 1), size[d], shard[d]) for d, u in pairs], "doc_id long, link long, weight double, size long, own int")
+    wide = sorted(sharding._wishes(own, 6).collect())
+    weight = {}
+    for d, u in pairs:
+        for e, v in pairs:
+            if u == v and e != d:
+                weight.setdefault(d, [0.0] * 6)[shard[e]] += size[e] / (u + 1)
+    best = {d: max(range(6), key=lambda s: (round(w[s], 9), s == shard[d], -s)) for d, w in weight.items()}
+    assert {r.doc_id: r.to for r in wide} == {d: b for d, b in best.items() if b != shard[d]}
+    monkeypatch.setattr(sharding, "WIDE", 0)
+    rows = sorted(sharding._wishes(own, 6).collect())
+    assert [tuple(r)[:4] for r in rows] == [tuple(r)[:4] for r in wide]
+    assert [r.gain for r in rows] == pytest.approx([r.gain for r in wide])
+
+
 def test_sharding_links_runs_and_copies(spark):
     """Against brute force, on texts that have no sentence of 40 characters."""
     w = brute.word_list(2000, 5)
