@@ -44,6 +44,8 @@ FLUSH = 1_500_000
 PER_BUCKET = 1_500_000
 #: Documents of one verification cell's row or column.
 BLOCK = 512
+#: N-grams of one verification cell's documents, about; some 60 bytes each are held.
+CELL_GRAMS = 4_000_000
 
 _SENT = pa.schema([("bucket", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _SCREENED = pa.schema([("doc_id", pa.int64()), ("m", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("shared", pa.int64())])
@@ -304,6 +306,18 @@ def _verify(t: float):
     return cell
 
 
+def _cells(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (x, y) in cells (cell, i, j): by the least id that either is paired with, cut into as many parts as its pairs and its documents' n-grams ask for."""
+    near = F.least("x", "y")
+    label = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"), near.alias("low")).groupBy("doc_id").agg(F.min("low").alias("cell"))
+    celled = pairs.join(label.withColumnRenamed("doc_id", "x"), "x")
+    crowd = celled.groupBy("cell").agg(F.count("*").alias("n_pairs"))
+    there = celled.select("cell", F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    load = there.join(docs.select("doc_id", (F.col("m") - F.col("u")).alias("size")), "doc_id").groupBy("cell").agg(F.sum("size").alias("grams"))
+    parts = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_pairs").cast("double")) / BLOCK), F.ceil(2 * F.col("grams") / CELL_GRAMS))
+    return celled.join(crowd.join(load, "cell"), "cell").withColumn("parts", parts).select("cell", F.expr("pmod(xxhash64(x), parts)").alias("i"), F.expr("pmod(xxhash64(y), parts)").alias("j"), "x", "y")
+
+
 def _classes(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     """Saved tables: links (doc_a, doc_b, jaccard) between different n-gram sets, by their smallest ids, and members (doc_id, rep) of sets that several documents have, but their smallest ids."""
     small_batches(docs.sparkSession)
@@ -335,11 +349,7 @@ def _classes(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     met = met.where(bound >= F.ceil(t / (1 + t) * (F.col("m_x") + F.col("m_y")) - 1e-9))
     pairs = saved(met.select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y")).distinct(), "jaccard-pairs")
 
-    near = F.least("x", "y")
-    label = pairs.select(F.explode(F.array("x", "y")).alias("doc_id"), near.alias("low")).groupBy("doc_id").agg(F.min("low").alias("cell"))
-    celled = pairs.join(label.withColumnRenamed("doc_id", "x"), "x")
-    crowd = celled.groupBy("cell").agg(F.count("*").alias("n_pairs"))
-    celled = celled.join(crowd, "cell").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n_pairs").cast("double")) / BLOCK))).select("cell", F.expr("pmod(xxhash64(x), parts)").alias("i"), F.expr("pmod(xxhash64(y), parts)").alias("j"), "x", "y")
+    celled = _cells(pairs, ordered)
     celled = saved(celled, "jaccard-cells")
     dropped(pairs)
     wanted = celled.select(F.col("cell").alias("to_cell"), F.col("i").alias("to_i"), F.col("j").alias("to_j"), F.explode(F.array("x", "y")).alias("doc_id")).distinct()

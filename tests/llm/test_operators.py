@@ -459,6 +459,26 @@ def test_sharding_awkward(odd, none):
         sharding.assignment(none, shards=0)
 
 
+def test_jaccard_cells_are_bounded_by_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_GRAMS", 2000)
+    docs = spark.createDataFrame([(d, 110, 10) for d in range(201)], "doc_id long, m int, u int")
+    pairs = spark.createDataFrame([(0, d) for d in range(1, 201)], "x long, y long")
+    cells = {}
+    for r in jaccard._cells(pairs, docs).collect():
+        cells.setdefault((r.cell, r.i, r.j), []).append((r.x, r.y))
+    assert sorted(p for c in cells.values() for p in c) == [(0, d) for d in range(1, 201)]
+    assert max(100 * len({d for p in c for d in p}) for c in cells.values()) < 3 * 2000
+
+
+def test_jaccard_same_links_from_many_cells(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [(d, " ".join(words[: 40 + d % 20])) for d in range(60)] + [(100, "a b c d e")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    before = sorted(map(tuple, jaccard.linked(docs).collect()))
+    monkeypatch.setattr(jaccard, "CELL_GRAMS", 100)
+    assert sorted(map(tuple, jaccard.linked(docs).collect())) == before
+
+
 def test_sharding_packets_find_every_shared_unit_once(monkeypatch):
     rng = np.random.default_rng(7)
     doc, unit = rng.integers(0, 300, 6000), np.concatenate((rng.integers(0, 5, 1000), rng.integers(0, 4000, 5000)))
